@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 from dialoom.session import read_table
 
 
+def p1_found(spark, d):
+    from dialoom.llm.responses import defects
+
+    return defects(read_table(spark, d, "oracle_raw"))
+
+
+def p1_length_spikes(spark, d):
+    from dialoom.llm.responses import length_spikes
+
+    return length_spikes(read_table(spark, d, "oracle_raw"))
+
+
+def p3_found(spark, d):
+    from dialoom.llm.repeats import repeated_events
+
+    return repeated_events(read_table(spark, d, "oracle_raw"))
+
+
 def p4_found(spark, d):
     from dialoom.llm.turns import turns
 
@@ -34,7 +52,7 @@ def p5_pieces(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p4_found, p4_document_turns, p5_found, p5_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces)}
 
 
 def oracle_sql():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 TEXT_SILENT = (3, 0)  # text pad, end-of-text pad
 LIMIT, OVERLAP, PAUSE = 512, 25, 13
+DELAYS = (0, 1, 1, 1, 1, 1, 1, 1)  # frames by which the codebooks of a side lag behind the text
 
 
 def silence_table(silence: DataFrame) -> list[list[int]]:
@@ -19,11 +20,11 @@ def silence_table(silence: DataFrame) -> list[list[int]]:
     return [sorted(r.code for r in rows if r.codebook == k) for k in range(8)]
 
 
-def pauses_of(streams: str, table: list[list[int]], least: int = PAUSE) -> Column:
-    """Pauses of a stream matrix as array<struct<first, last>>, frames counted from 0.
+def silent_frames(streams: str, table: list[list[int]]) -> Column:
+    """Numbers of the silent frames of a stream matrix, counted from 0.
 
-    Starts and ends of silent stretches are found independently and paired by their order. The checks stop at the
-    first row that isn't silent, so most frames cost one or two comparisons.
+    The matrix is delayed: the codes that sound with the text at column i stand at i plus their codebook's delay.
+    The checks stop at the first row that isn't silent, so most frames cost one or two comparisons.
     """
     codes = [F.array(*[F.lit(c) for c in row]).cast("array<int>") for row in table]
     row = lambda k: F.get(F.col(streams), k)
@@ -31,16 +32,16 @@ def pauses_of(streams: str, table: list[list[int]], least: int = PAUSE) -> Colum
     def silent(i: Column) -> Column:
         ok = F.get(row(0), i).isin(*TEXT_SILENT)
         for k in range(16):
-            ok = ok & F.array_contains(codes[k % 8], F.get(row(1 + k), i))
+            ok = ok & F.array_contains(codes[k % 8], F.get(row(1 + k), i + DELAYS[k % 8]))
         return F.coalesce(ok, F.lit(False))
 
     n = F.size(row(0))
-    quiet = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), silent)).otherwise(F.array().cast("array<int>"))
-    return quiet
+    return F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), silent)).otherwise(F.array().cast("array<int>"))
 
 
 def stretches(quiet: Column, least: int = PAUSE) -> Column:
-    """Stretches of at least `least` consecutive numbers in an ascending array."""
+    """Stretches of at least `least` consecutive numbers in an ascending array, as array<struct<first, last>>.
+    Starts and ends are found independently and paired by their order."""
     firsts = F.filter(quiet, lambda x, i: (i == 0) | (F.get(quiet, i - 1) != x - 1))
     lasts = F.filter(quiet, lambda x, i: F.coalesce(F.get(quiet, i + 1) != x + 1, F.lit(True)))
     pairs = F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
@@ -50,7 +51,7 @@ def stretches(quiet: Column, least: int = PAUSE) -> Column:
 def oversized(examples: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Examples that really have more than `limit` frames, each once, whatever num_frames says.
 
-    Repeated rows are equal but for nothing, so only the key is compared. Null streams have no frames.
+    Null streams have no frames.
     """
     return examples.filter(F.size(F.get("streams", 0)) > limit).dropDuplicates(["example_id"])
 
@@ -62,7 +63,7 @@ def example_pauses(examples: DataFrame, silence: DataFrame, limit: int = LIMIT,
     """
     found = (
         examples.filter(F.size(F.get("streams", 0)) > limit)
-        .select("example_id", F.size(F.get("streams", 0)).alias("n_frames"), pauses_of("streams", silence_table(silence), least).alias("_quiet"))
+        .select("example_id", F.size(F.get("streams", 0)).alias("n_frames"), silent_frames("streams", silence_table(silence)).alias("_quiet"))
         .select("example_id", "n_frames", stretches(F.col("_quiet"), least).alias("pauses"))
     )
     return found.dropDuplicates(["example_id"])
@@ -123,7 +124,7 @@ def pieces(examples: DataFrame, silence: DataFrame, limit: int = LIMIT, overlap:
         return pd.Series([[{"a": a, "b": b} for a, b in cut_points(int(k), [(int(x["first"]), int(x["last"])) for x in q], limit, overlap, least)] for k, q in zip(n, p)])
 
     one = examples.filter(F.size(F.get("streams", 0)) > limit).dropDuplicates(["example_id"])
-    quiet = one.withColumn("_n", F.size(F.get("streams", 0))).withColumn("_quiet", pauses_of("streams", silence_table(silence), least))
+    quiet = one.withColumn("_n", F.size(F.get("streams", 0))).withColumn("_quiet", silent_frames("streams", silence_table(silence)))
     cut = quiet.withColumn("_bounds", bounds("_n", stretches(F.col("_quiet"), least)))
     x = cut.select("example_id", "streams", "labels", "oracle_event_frame_pos", F.posexplode("_bounds").alias("piece", "_b"))
     own = F.when(F.col("piece") == 0, 0).otherwise(F.col("_b.a") + overlap)

@@ -39,3 +39,18 @@ def hits(words: Column, lang: str) -> Column:
     """How many of the words of an array are function words of a language."""
     known = F.array(*[F.lit(w) for w in FUNCTION_WORDS[lang]])
     return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+
+
+# Texts that stand for a missing value once case and punctuation are gone.
+STAND_IN = r"^(?:null|none|nil|na|n a|nan|empty|missing|undefined|blank|no (?:answer|response|reply|text|prediction)|keine antwort|sin respuesta)$"
+
+
+def is_empty(text: Column) -> Column:
+    """Null, without a word, or only a stand-in for a missing value."""
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return (plain == "") | plain.rlike(STAND_IN)
+
+
+def spoken(words: Column) -> Column:
+    """The words of an array without hesitation sounds."""
+    return F.filter(words, lambda w: ~w.rlike(HESITATION))
