@@ -115,6 +115,13 @@ def strong_end(raw: Column) -> Column:
     return raw.rlike(r"[^.…][.!?][\"'”»)\s\p{Z}]*$") & ~raw.rlike(r"(?:\.\.|…)[\"'”»)\s\p{Z}]*$")
 
 
+def _windows(k: int) -> Column:
+    """All stretches of k words of the array `w`: their text and the number of their last word."""
+    size = F.size("w")
+    one = lambda i: F.struct(F.when(i <= size, F.array_join(F.slice("w", i - (k - 1), k), " ")).alias("gram"), i.alias("at"))
+    return F.transform(F.sequence(F.lit(k), F.greatest(size, F.lit(k))), one)
+
+
 def shortened(texts: DataFrame, least_mid: int = 3, least_rate: float = 0.02, checkpoint=checkpointed) -> DataFrame:
     """Texts that break off. Input: text (lower-case words joined by blanks), strong (ends like a sentence), n.
     Output: one column, text.
@@ -150,7 +157,7 @@ def shortened(texts: DataFrame, least_mid: int = 3, least_rate: float = 0.02, ch
         "strong",
         "n",
         F.size("w").alias("size"),
-        F.explode(F.flatten(F.array(*[F.transform(F.sequence(F.lit(k), F.greatest(F.size("w"), F.lit(k))), lambda i, k=k: F.struct(F.when(i <= F.size("w"), F.array_join(F.slice("w", i - k + 1, k), " ")).alias("gram"), i.alias("at"))) for k in (1, 2, 3)]))).alias("x"),
+        F.explode(F.flatten(F.array(*[_windows(k) for k in (1, 2, 3)]))).alias("x"),
     ).filter("x.gram is not null")
     counts = each.groupBy(F.col("x.gram").alias("gram")).agg(
         F.sum(F.when(F.col("x.at") < F.col("size"), F.col("n")).otherwise(0)).alias("mid"),
