@@ -51,8 +51,26 @@ def p5_pieces(spark, d):
     return pieces(read_table(spark, d, "examples"), read_table(spark, d, "silence_codes"))
 
 
+def p7_found(spark, d):
+    from dialoom.llm.leaks import leaked_items
+
+    return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    from dialoom.llm.privacy import personal_finds
+
+    return personal_finds(read_table(spark, d, "documents"))
+
+
+def p8_redacted(spark, d):
+    from dialoom.llm.privacy import redacted
+
+    return redacted(read_table(spark, d, "documents"), key="a secret of the data's owner")
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces, p7_found, p8_found, p8_redacted)}
 
 
 def oracle_sql():

@@ -11,7 +11,7 @@ HESITATION_NOT_GERMAN = r"^(?:um|er)$"
 
 # Frequent function words by which the language of a stretch of talk is told.
 FUNCTION_WORDS = {
-    "en": "the a an is are was were i'm i you we they it that there this to of for on at and with would have has could can please which what how my your not or but".split(),
+    "en": "the an is are was were i'm i you we they it that there this to of for on at and with would have has could can please which what how my your not or but".split(),
     "de": "der die das den dem ein eine einen einem ist sind war ich sie wir es und für im am auf mit von zu nicht noch bitte haben habe hat kann wie an auch oder aber mein ihr".split(),
     "es": "el la los las un una es son está estaba yo usted y para por con de del en que no se me mi su al hay tiene puede qué cómo cuánto pero más lo".split(),
     "fr": "le la les un une est sont était je vous nous et pour par avec de du des en que ne pas se mon votre au aux il elle quelle comment mais plus à j'ai".split(),
