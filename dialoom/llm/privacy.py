@@ -61,15 +61,15 @@ IDNO = [
     re.compile(rf"(?<!\w)(?:[a-z] ){{1,3}}{_SPOKEN}(?: {_SPOKEN}){{5,}}(?: [a-z](?![\w']))?(?!\w)", _I),
     re.compile(rf"(?<!\w){_SPOKEN}(?: {_SPOKEN}){{5,}} [a-z](?![\w'])", _I),
 ]
-LABELLED = re.compile(rf"{ID_LABEL}[^\n\d:#]{{0,22}}[:#°.]?\s?((?:\d[\d./ -]{{5,16}}\d|[A-Z]{{0,3}}\d[\dA-Z./-]{{5,16}}[\dA-Z]))(?!\w)", _I)
+LABELLED = re.compile(rf"{ID_LABEL}[^\n\d:#.!?]{{0,20}}[:#°.]?\s?(?<![\w-])((?:\d[\d./ -]{{5,16}}\d|[A-Z]{{0,3}}\d[\dA-Z./-]{{5,16}}[\dA-Z]))(?!\w)", _I)
 _SUR = rf"(?:O'|Mc|Mac)?{_W}{{3,}}(?:-{_W}{{3,}})?"
 _HOUSE = r"\d{1,4}(?: ?[a-z](?!\w)| bis| ter)?"
 ADDRESS = [
     re.compile(rf"(?<![\w.,:-])(?:(?:flat|apartment|apt\.?|unit) \d{{1,3}}[a-z]?, ?)?(?:{_HOUSE}|{COUNT}),? (?:[^\W\d_]{{4,}}(?:[ -][^\W\d_]{{4,}})?) (?:{STREET_EN})(?!\w)", _I),
     re.compile(rf"(?<![\w.:-]){_HOUSE},? (?:{STREET_FR}) (?:(?:de la|de l'|des|du|de) ?)?[^\W\d_]{{4,}}(?!\w)", _I),
-    re.compile(rf"(?<!\w)[^\W\d_]{{3,}}(?:{STREET_DE}) \d{{1,4}}(?: ?[a-z](?!\w))?(?![\w:])", _I),
-    re.compile(r"(?<!\w)(?:Am|An der|Im|Auf der|Zum|Zur) (?!(?:Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag)\b)[A-ZÄÖÜ][a-zäöüß]{3,} \d{1,4}(?: ?[a-z](?!\w))?(?![\w:])"),
-    re.compile(rf"(?<!\w)(?:{STREET_ES}) ?(?:(?:de la|de los|del|de) )?[^\W\d_]{{4,}},? \d{{1,4}}(?: ?[a-z](?!\w))?(?![\w:])", _I),
+    re.compile(rf"(?<!\w)[^\W\d_]{{3,}}(?:{STREET_DE}) \d{{1,4}}(?:[a-z]| (?-i:[a-h])(?!['\w]))?(?![\w:])", _I),
+    re.compile(r"(?<!\w)(?:Am|An der|Im|Auf der|Zum|Zur) (?!(?:Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag)\b)[A-ZÄÖÜ][a-zäöüß]{3,} \d{1,4}(?: ?[a-h](?!['\w]))?(?![\w:])"),
+    re.compile(rf"(?<!\w)(?:{STREET_ES}) ?(?:(?:de la|de los|del|de) )?[^\W\d_]{{4,}},? \d{{1,4}}[a-z]?(?![\w:])", _I),
 ]
 _GIVEN = "|".join(GIVEN)
 _INITIAL = r"(?: [A-Z]\.)?"
@@ -109,7 +109,7 @@ def finds(text: str) -> list[tuple[int, int, str]]:
     for m in IDNO[2].finditer(text):
         add(*m.span(), "idno")
     for m in LABELLED.finditer(text):
-        if sum(c.isdigit() for c in m[1]) >= 5:
+        if sum(c.isdigit() for c in m[1]) >= 5 and not re.fullmatch(r"\d+\.\d+|\d{4}-\d\d.*", m[1]):
             add(*m.span(1), "idno")
     for p in PHONE:
         for m in p.finditer(text):

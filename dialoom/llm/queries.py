@@ -51,6 +51,12 @@ def p5_pieces(spark, d):
     return pieces(read_table(spark, d, "examples"), read_table(spark, d, "silence_codes"))
 
 
+def p6_containers(spark, d):
+    from dialoom.llm.packing import containers
+
+    return containers(read_table(spark, d, "documents"))
+
+
 def p7_found(spark, d):
     from dialoom.llm.leaks import leaked_items
 
@@ -70,7 +76,7 @@ def p8_redacted(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces, p7_found, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces, p6_containers, p7_found, p8_found, p8_redacted)}
 
 
 def oracle_sql():
