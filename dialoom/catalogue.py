@@ -2,18 +2,277 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from dialoom.operators import align, batch, frames, metrics, ticks, transcripts
+from dialoom.plans import oracle
 from dialoom.session import read_table
+from dialoom.sources import files
+
+QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _t(spark, d):
+    return transcripts.transcript(read_table(spark, d, "words"))
 
 
+def _examples(spark, d):
+    return read_table(spark, d, "examples").filter("example_id is not null")
+
+
+def _rows(df, *cols):
+    """A stream matrix as one line per row: its length and a checksum."""
+    return df.select(*cols, F.posexplode("streams").alias("row_no", "r")).select(*cols, "row_no", F.size("r").alias("len"), F.md5(F.array_join(F.transform("r", lambda v: v.cast("string")), ",")).alias("sum_md5"))
+
+
+@query
 def p2_found(spark, d):
     from dialoom.operators.intervals import speech_periods
 
     return speech_periods(read_table(spark, d, "words"))
 
 
+@query
+def words(spark, d):
+    return _t(spark, d).select("did", "idx", "speaker", "word", F.col("start").alias("start_t"), F.col("end").alias("end_t"))
+
+
+@query
+def speaker_coverage(spark, d):
+    return transcripts.speaker_coverage(_t(spark, d))
+
+
+@query
+def merged_word_streams(spark, d):
+    return transcripts.merged_streams(_t(spark, d)).select("did", "pos", "speaker", "word")
+
+
+@query
+def speaker_runs(spark, d):
+    return transcripts.speaker_runs(_t(spark, d))
+
+
+@query
+def spoken_ratio(spark, d):
+    return transcripts.spoken_ratio(_t(spark, d))
+
+
+@query
+def word_frames(spark, d):
+    return _t(spark, d).select("did", "idx", transcripts.frame_of(F.col("start")).alias("frame"))
+
+
+@query
+def oracle_ticks(spark, d):
+    return ticks.ticks(_t(spark, d)).select("did", "k", "n_so_far", "trigger_word", "speaker", "recent_words", "ratio")
+
+
+@query
+def conversation_context(spark, d):
+    return ticks.ticks(_t(spark, d)).select("did", "k", "context")
+
+
+@query
+def next_utterance_hint(spark, d):
+    return ticks.ticks(_t(spark, d)).select("did", "k", "hint")
+
+
+@query
+def oracle_events(spark, d):
+    return ticks.events(ticks.ticks(_t(spark, d)))
+
+
+@query
+def target_channel_events(spark, d):
+    return ticks.events(ticks.ticks(_t(spark, d)), channel=1).select("did", "timestamp_ms", "hint", "channel")
+
+
+@query
+def prompt_bands(spark, d):
+    return ticks.ticks(_t(spark, d)).select("did", "k", ticks.prompt_band(F.col("ratio")).alias("band"))
+
+
+@query
+def character_timing(spark, d):
+    return align.character_times(_t(spark, d)).groupBy("did", "speaker").agg(F.count(F.lit(1)).alias("n_chars"), F.round(F.sum("ch_start"), 3).alias("sum_start"))
+
+
+@query
+def text_frames(spark, d):
+    return align.text_frames(_t(spark, d))
+
+
+@query
+def event_frames(spark, d):
+    return align.event_frames(read_table(spark, d, "oracle_raw"))
+
+
+@query
+def undelayed_streams(spark, d):
+    return _rows(_examples(spark, d).dropDuplicates(["example_id"]).select("example_id", frames.undelayed(F.col("streams")).alias("streams")), "example_id")
+
+
+@query
+def delayed_streams(spark, d):
+    return _rows(_examples(spark, d).dropDuplicates(["example_id"]).select("example_id", frames.delayed(F.col("streams")).alias("streams")), "example_id")
+
+
+@query
+def main_speaker_streams(spark, d):
+    """The other side's view of each example: its text is unknown, so both text rows are the main speaker's."""
+    x = _examples(spark, d).dropDuplicates(["example_id"])
+    other = F.concat(F.slice("streams", 1, 1), F.slice("streams", 10, 8))
+    return _rows(x.select("example_id", frames.main_streams(F.slice("streams", 1, 9), other).alias("streams")), "example_id")
+
+
+@query
+def labels(spark, d):
+    return _rows(_examples(spark, d).dropDuplicates(["example_id"]).select("example_id", frames.labels(F.col("streams")).alias("streams")), "example_id")
+
+
+@query
+def chunk_bounds(spark, d):
+    x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.explode(frames.chunk_bounds(F.size(F.get("streams", 0)), 512)).alias("c"))
+    return x.select("example_id", "c.chunk", "c.start", "c.len")
+
+
+@query
+def chunked_events(spark, d):
+    x = frames.chunked(_examples(spark, d).dropDuplicates(["example_id"]).select("example_id", "streams", "oracle_event_frame_pos"), 512)
+    return x.select("example_id", "chunk", "num_frames", F.array_join(F.transform("oracle_event_frame_pos", lambda v: v.cast("string")), ",").alias("pos"))
+
+
+@query
+def min_length_filter(spark, d):
+    x = frames.chunked(_examples(spark, d).dropDuplicates(["example_id"]).select("example_id", "streams", "oracle_event_frame_pos"), 256)
+    return x.filter("num_frames >= 128").groupBy("example_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("num_frames").alias("n_frames"))
+
+
+@query
+def ragged_unpack(spark, d):
+    x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.posexplode(frames.unpacked(F.col("oracle_pred_values"), F.col("oracle_pred_offsets"))).alias("event", "ids"))
+    return x.select("example_id", "event", F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"))
+
+
+@query
+def ragged_pack(spark, d):
+    x = _examples(spark, d).dropDuplicates(["example_id"]).withColumn("lists", frames.unpacked(F.col("oracle_hint_values"), F.col("oracle_hint_offsets")))
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    return x.select("example_id", joined(F.flatten("lists")).alias("packed_values"), joined(frames.packed_offsets(F.col("lists"))).alias("packed_offsets"))
+
+
+def _events(x):
+    """Events of the examples as structs in order of their frame."""
+    zipped = F.zip_with(
+        frames.unpacked(F.col("oracle_pred_values"), F.col("oracle_pred_offsets")),
+        frames.unpacked(F.col("oracle_hint_values"), F.col("oracle_hint_offsets")),
+        lambda p, h: F.struct(p.alias("pred"), h.alias("hint")),
+    )
+    e = F.transform(zipped, lambda z, i: F.struct(F.get("oracle_event_frame_pos", i).alias("pos"), i.alias("i"), F.get("oracle_event_ratio", i).alias("ratio"), F.get("oracle_event_skip_forbid", i).alias("forbid"), z.pred.alias("pred"), z.hint.alias("hint")))
+    return x.withColumn("events", F.array_sort(F.filter(e, lambda z: z.pos.isNotNull())))
+
+
+@query
+def oracle_frame_stream(spark, d):
+    x = _events(_examples(spark, d).dropDuplicates(["example_id"]))
+    return batch.event_writes(x, F.size(F.get("streams", 0)))
+
+
+@query
+def skip_and_jitter(spark, d):
+    x = _events(_examples(spark, d).dropDuplicates(["example_id"]))
+    return batch.event_writes(x, F.size(F.get("streams", 0)), aug=batch.Augmentation(seed="7", skip=(0.1, 0.7), jitter=2))
+
+
+@query
+def shifted_text(spark, d):
+    x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.get("streams", 0).alias("r"))
+    right = batch.uniform("7", F.col("example_id"), "side") < 0.5
+    by = F.floor(batch.uniform("7", F.col("example_id"), "by") * 10).cast("int") + 1
+    moved = batch.shifted(F.col("r"), right, by)
+    return x.select("example_id", F.md5(F.array_join(F.transform(moved, lambda v: v.cast("string")), ",")).alias("sum_md5"))
+
+
+@query
+def token_dropout(spark, d):
+    x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.get("streams", 0).alias("r"))
+    kept = batch.dropout(F.col("r"), 0.2, (3, 0, 32000), "7", F.col("example_id"))
+    return x.select("example_id", F.size(F.filter(kept, lambda v: v == 3)).alias("n_pad"))
+
+
+@query
+def curriculum_mode(spark, d):
+    x = _examples(spark, d).select("example_id").distinct()
+    steps = F.explode(F.array(*[F.lit(s) for s in (0, 250, 500, 750, 1000)]))
+    return x.withColumn("step", steps).select("example_id", "step", batch.hint_only(F.col("step"), 0, 1000, batch.uniform("7", F.col("example_id"), "mode")).alias("hint_only"))
+
+
+@query
+def batch_padding(spark, d):
+    x = batch.batches(_examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.size(F.get("streams", 0)).alias("n")), 8)
+    longest = F.max("n").over(Window.partitionBy("batch_id"))
+    x = x.withColumn("longest", longest)
+    total = F.aggregate(batch.mask(F.col("n"), F.col("longest"), -1), F.lit(0), lambda a, v: a + v)
+    return x.select("example_id", "batch_id", "pos_in_batch", "n", "longest", total.alias("mask_sum"))
+
+
+@query
+def missing_ids(spark, d):
+    return files.missing(read_table(spark, d, "words").select("dialogue_id"), read_table(spark, d, "dialogues").select("dialogue_id"), "dialogue_id", "words", "dialogues")
+
+
+@query
+def resume_pending(spark, d):
+    return files.pending(read_table(spark, d, "dialogues").select("dialogue_id").distinct(), read_table(spark, d, "examples"), valid="streams is not null and size(oracle_pred_offsets) = size(oracle_event_frame_pos) + 1")
+
+
+@query
+def shard_assignment(spark, d):
+    return files.shards(read_table(spark, d, "dialogues").select("dialogue_id").distinct(), "dialogue_id", 30)
+
+
+@query
+def dataset_rows(spark, d):
+    """Words, events and examples of a dialogue side by side."""
+    key = "dialogue_id"
+    a = read_table(spark, d, "words").select(key, "word_idx").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_words"))
+    b = read_table(spark, d, "oracle_raw").select(key, "ord").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_events"))
+    c = read_table(spark, d, "examples").select(key, "example_id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_examples"))
+    return a.join(b, key).join(c, key)
+
+
+@query
+def masked_loss_metrics(spark, d):
+    x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.posexplode(F.get("labels", 0)).alias("frame", "label"))
+    u = batch.uniform(F.col("example_id"), F.col("frame"), "nll")
+    losses = x.select((F.col("example_id") % 5).alias("step"), "label", (u * 4).alias("nll"), F.when(u < 0.4, 1.0).otherwise(0.0).alias("hit"))
+    m = metrics.combined_text(metrics.text_loss(losses))
+    return m.select("step", *[F.round(c, 9).alias(c) for c in ("nonpad_loss", "nonpad_acc", "pad_loss", "text_loss")], "n_nonpad", "n_pad")
+
+
+@query
+def nanmean_metrics(spark, d):
+    x = read_table(spark, d, "oracle_raw").select("dialogue_id", "ord", "channel", "current_spoken_ratio").distinct()
+    v = F.when(F.col("ord") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("current_spoken_ratio"))
+    m = metrics.nan_mean(x.select(F.coalesce("channel", F.lit(0)).cast("string").alias("key"), v.alias("value")))
+    return m.select("key", F.round("mean_value", 9).alias("mean_value"), "n")
+
+
+@query
+def embedding_stats(spark, d):
+    m = metrics.embedding_stats(read_table(spark, d, "embeddings"), 8)
+    return m.select("i", "j", F.round("cov", 8).alias("cov"), F.round("mean_i", 8).alias("mean_i"))
+
+
 def queries():
-    return {"p2_found": p2_found}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(oracle.SQL)

@@ -147,3 +147,23 @@ def collapse_runs(df: DataFrame, ranges: Ranges, order: list[str], value: str, a
         )
     )
     return runs.filter(~is_edge).select(*out).unionByName(edges.select(*out))
+
+
+def stretches(df: DataFrame, ranges: Ranges, order: list[str], at: str, max_gap, name: str) -> DataFrame:
+    """Numbers the stretches of a key's rows, from 0; a new one begins where `at` has grown by more than `max_gap`.
+
+    Each range numbers its own stretches; how many came before is read off one row for each range of a hot key.
+    """
+    keys = ranges.keys
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    broken = df.withColumn("_break", F.coalesce((F.col(at) - F.lag(at).over(w) > F.lit(max_gap)).cast("int"), F.lit(0)))
+    local = broken.withColumn(name, F.sum("_break").over(w))
+    if not ranges.split:
+        return local.drop("_break")
+    by_range = Window.partitionBy(*keys).orderBy(BUCKET)
+    hot = broken.join(F.broadcast(ranges.cuts.select(*keys)), keys, "left_semi")
+    edge = F.coalesce((F.col("_low") - F.lag("_high").over(by_range) > F.lit(max_gap)).cast("int"), F.lit(0))
+    sums = hot.groupBy(*keys, BUCKET).agg(F.sum("_break").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high")).withColumn("_edge", edge)
+    before = F.coalesce(F.sum("_n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("_edge").over(by_range)
+    offsets = sums.select(*keys, BUCKET, before.alias("_before"))
+    return local.join(F.broadcast(offsets), [*keys, BUCKET], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_break")
