@@ -100,7 +100,7 @@ def prompt_bands(spark, d):
 
 @query
 def character_timing(spark, d):
-    return align.character_times(_t(spark, d)).groupBy("did", "speaker").agg(F.count(F.lit(1)).alias("n_chars"), F.round(F.sum("ch_start"), 3).alias("sum_start"))
+    return align.character_times(_t(spark, d)).groupBy("did", "speaker").agg(F.count(F.lit(1)).alias("n_chars"), F.sum(F.round(F.col("ch_start") * 1000).cast("long")).alias("sum_ms"))
 
 
 @query
