@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 MIN_ROWS = 250_000
@@ -69,7 +70,7 @@ def find_ranges(df: DataFrame, keys: list[str], order: str, min_rows: int = MIN_
         wanted = F.broadcast(spark.createDataFrame(members, types))
         points = F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 10 * parts if parts > 1000 else 10_000)
         cuts += [(*[r[k] for k in keys], sorted(set(r["_cuts"]))) for r in slim.join(wanted, keys).groupBy(*keys).agg(points.alias("_cuts")).collect()]
-    schema = types.add("_cuts", "array<double>")
+    schema = T.StructType([*types.fields, T.StructField("_cuts", T.ArrayType(T.DoubleType()))])
     return Ranges(keys, order, spark.createDataFrame(cuts, schema))
 
 
