@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.labels import side_of
-from dialoom.llm.text import HESITATION, HESITATION_NOT_GERMAN, bare, is_in
+from dialoom.llm.text import FUNCTION_WORDS, HESITATION, HESITATION_NOT_GERMAN, bare, is_in
 from dialoom.operators.sequence import BUCKET, MIN_ROWS, collapse_runs, find_ranges
 
 # The marks that a transcript row may hold besides a word, as the states of a small automaton:
@@ -86,11 +86,13 @@ def turns(
 
 # ---- transcripts as text -------------------------------------------------------------------------------------
 
+_GERMAN, _ENGLISH = frozenset(FUNCTION_WORDS["de"]), frozenset(FUNCTION_WORDS["en"])
 _STAMP_LINE = re.compile(r"^\s*(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3}\s*-->\s*(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3}")
 _LEAD_STAMP = re.compile(r"^\s*[\[(<]?(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?:[.,](\d{1,3}))?[\])>]?\s*(?=\S*\s*(?:\[|\(|<|\w+\s*:|-))")
 _VOICE = re.compile(r"^\s*(?:<v\s+([^>]+)>|\[([^\]\d][^\]]{0,30})\](?=\s)|\(([AB])\)(?=\s)|(Speaker[ _]?\w+|SPK_\w+|Caller|Agent|[AB])\s*:)\s*", re.I)
 _ANNOTATION = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|\*[^*]+\*|[♩♪♫♬]+")
 _FILLER = re.compile(r"(?<![\w'])(?:u+h+m*|u+m{2,}|h+m+|m{2,}|äh+m*|ääh|öh+m*|e+h+m*|e+r+m+)(?:\.{2,}|,)?(?![\w'])\s*", re.I)
+_FILLER_NOT_GERMAN = re.compile(_FILLER.pattern.replace("u+h+m*|", "u+h+m*|um|er|"), re.I)
 _SIDES = {"caller": "A", "agent": "B", "left": "A", "right": "B", "0": "A", "1": "B"}
 
 
@@ -100,9 +102,12 @@ def parse_lines(text: str) -> list[tuple[int, str | None, int | None, str]]:
     Layouts: SubRip and WebVTT captions; lines led by 'A:', '[A]', 'Caller:', 'Speaker A:' or '<v A>', with or
     without a time before; lines led by a dash that change the speaker each time. The automaton's states are
     'outside', 'number' (of a caption), 'cue' (inside a caption) and 'line'. A line without a speaker belongs to
-    the turn before it.
+    the turn before it. 'um' and 'er' go unless the text is German.
     """
     state, speaker, at, out = "outside", None, None, []
+    heard = text.lower().split()
+    german = sum(w in _GERMAN for w in heard) > sum(w in _ENGLISH for w in heard)
+    filler = _FILLER if german else _FILLER_NOT_GERMAN
     dash = 0
     for raw in re.split(r"\r\n|\n|\r", text):
         line = raw.strip("﻿ \t ")
@@ -128,7 +133,7 @@ def parse_lines(text: str) -> list[tuple[int, str | None, int | None, str]]:
             speaker, line = _SIDES.get(short.lower(), short.upper() if len(short) == 1 else short), line[m.end() :]
         elif re.match(r"^[-–]\s+\S", line):
             speaker, dash, line = "AB"[dash % 2], dash + 1, line[1:].strip()
-        clean = re.sub(r"\s+", " ", _FILLER.sub("", _ANNOTATION.sub(" ", line))).strip()
+        clean = re.sub(r"\s+", " ", filler.sub("", _ANNOTATION.sub(" ", line))).strip()
         if not clean:
             continue
         if out and out[-1][1] == speaker:
