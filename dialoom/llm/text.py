@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Hesitation sounds. The first pattern holds in every language; the second ones are words in German.
-HESITATION = r"^(?:u+h+m*|u+m{2,}|h+m+|m{2,}|[äa]+h+m*|ö+h+m*|e+h+m*|e{2,}h*m*|e+r+m+|e+r{2,}|h?e+u+h+)$"
+HESITATION = r"^(?:u+h+m*|u+m{2,}|h+m+|m{2,}|ä+h+m*|a+h+m+|ö+h+m*|e+h+m*|e{2,}h*m*|e+r+m+|e+r{2,}|e+u+h+|heu+h*)$"
 HESITATION_NOT_GERMAN = r"^(?:um|er)$"
 
 # Frequent function words by which the language of a stretch of talk is told.
