@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dialoom.functions.tokenize import text_ids
 from dialoom.operators import align, batch, frames, metrics, ticks, transcripts
 from dialoom.plans import oracle
 from dialoom.session import read_table
@@ -270,6 +271,24 @@ def embedding_stats(spark, d):
     return m.select("i", "j", F.round("cov", 8).alias("cov"), F.round("mean_i", 8).alias("mean_i"))
 
 
+@query
+def token_timing(spark, d):
+    x = align.token_times(_t(spark, d))
+    return x.select("did", "speaker", "idx", "part", "token_id", F.round(F.col("tok_start") * 1e6).cast("long").alias("start_us"), F.round(F.col("tok_end") * 1e6).cast("long").alias("end_us"))
+
+
+@query
+def prediction_ids(spark, d):
+    x = read_table(spark, d, "oracle_raw").select("dialogue_id", "ord", "prediction").dropDuplicates(["dialogue_id", "ord"])
+    return x.select("dialogue_id", "ord", F.array_join(F.transform(text_ids(F.col("prediction")), lambda v: v.cast("string")), ",").alias("ids"))
+
+
+@query
+def per_file_speakers(spark, d):
+    x = read_table(spark, d, "dialogues").select("dialogue_id", "service").distinct()
+    return align.by_file_speakers(x, "service", {"rail": "A", "taxi": "B"}, "A,B")
+
+
 def queries():
     return dict(QUERIES)
 

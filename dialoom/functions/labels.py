@@ -22,8 +22,14 @@ def side_of(label: Column) -> Column:
 
 
 def without_repeats(df: DataFrame, key: list[str]) -> DataFrame:
-    """Repeated rows count once. The key is composite, so a hot first part of it is spread over all tasks."""
-    return df.dropDuplicates(key)
+    """Repeated rows count once. The key is composite, so a hot first part of it is spread over all tasks. Rows
+    with a null in the key have no identity; of them, only equal ones count as repeats."""
+    rest = [c for c in df.columns if c not in key]
+    unknown = F.lit(False)
+    for c in key:
+        unknown = unknown | F.col(c).isNull()
+    content = F.when(unknown, F.xxhash64(*rest) if rest else F.lit(0).cast("long")).otherwise(F.lit(0).cast("long"))
+    return df.withColumn("_content", content).dropDuplicates([*key, "_content"]).drop("_content")
 
 
 def to_ms(seconds: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.labels import without_repeats
+from dialoom.functions.tokenize import LONGEST, piece_id, pieces
+from dialoom.operators.batch import speaker_spec
 from dialoom.operators.transcripts import frame_of
 
 RATE = 12.5
@@ -68,3 +70,29 @@ def event_frames(raw: DataFrame, num_frames: int | None = None) -> DataFrame:
         placed = placed.filter(F.col("frame_pos") < num_frames)
     said = (F.trim(F.coalesce("prediction", F.lit(""))) != "") | (F.trim(F.coalesce("hint", F.lit(""))) != "")
     return placed.filter(said).select("dialogue_id", "channel", "ord", "frame_pos", F.coalesce(F.col("current_spoken_ratio").cast("float"), F.lit(0.0).cast("float")).cast("double").alias("ratio"), "skip_forbid")
+
+
+def token_times(t: DataFrame) -> DataFrame:
+    """Tokens with the times of their first and last characters: did, speaker, idx, part, token_id, tok_start, tok_end.
+
+    A word's time is divided evenly over its characters, the leading blank included, which the mark of its first
+    piece stands for; the very first word of a speaker has no blank, so there the mark takes no time. A piece that
+    is only that mark is skipped.
+    """
+    w = Window.partitionBy("did", "speaker").orderBy("start", "idx")
+    lead = F.when(F.row_number().over(w) == 1, 0).otherwise(1)
+    x = t.filter("length(word) > 0").withColumn("_lead", lead).withColumn("_len", F.length("word") + F.col("_lead"))
+    x = x.select("*", F.posexplode(pieces(F.col("word"))).alias("part", "_p"))
+    first = F.greatest(F.col("part") * LONGEST - (1 - F.col("_lead")), F.lit(0))
+    last = F.col("part") * LONGEST + F.length("_p") - 1 - (1 - F.col("_lead"))
+    step = (F.col("end") - F.col("start")) / F.col("_len")
+    return x.filter(last >= first).select("did", "speaker", "idx", "part", piece_id(F.col("_p")).alias("token_id"), (F.col("start") + first * step).alias("tok_start"), (F.col("start") + (last + 1) * step).alias("tok_end"))
+
+
+def by_file_speakers(df: DataFrame, file: str, speakers: dict[str, str], default: str) -> DataFrame:
+    """One row per requested speaker of each row's file (U3, P13); `speakers` maps a file to 'A', 'B' or 'A,B'."""
+    chosen = F.lit(None).cast("array<string>")
+    wanted = F.array(*[F.lit(s) for s in speaker_spec(default)])
+    for name, spec in speakers.items():
+        chosen = F.when(F.col(file) == name, F.array(*[F.lit(s) for s in speaker_spec(spec)])).otherwise(chosen)
+    return df.withColumn("main_speaker", F.explode(F.coalesce(chosen, wanted)))

@@ -174,4 +174,16 @@ SELECT coalesce(channel, 0)::VARCHAR AS key, round(avg(current_spoken_ratio) FIL
 WITH e AS (SELECT embedding FROM embeddings WHERE len(embedding) >= 8)
 SELECT i::INT AS i, j::INT AS j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) AS cov, round(avg(embedding[i + 1]::DOUBLE), 8) AS mean_i
 FROM e, unnest(range(0, 8)) AS a(i), unnest(range(0, 8)) AS b(j) WHERE j >= i GROUP BY i, j""",
+    "token_timing": T
+    + """, a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY did, speaker ORDER BY start_t, idx) = 1 THEN 0 ELSE 1 END AS lead FROM t WHERE len(word) > 0),
+p AS (SELECT a.*, regexp_extract_all('▁' || word, '.{1,4}') AS ps FROM a),
+b AS (SELECT p.*, i - 1 AS part, ps[i] AS piece, greatest((i - 1) * 4 - 1 + lead, 0) AS lo, (i - 1) * 4 + len(ps[i]) - 1 - 1 + lead AS hi, (end_t - start_t) / (len(word) + lead) AS step FROM p, unnest(range(1, len(ps) + 1)) AS q(i))
+SELECT did, speaker, idx, part::INT AS part, (4 + concat('0x', substr(md5(piece), 1, 7))::BIGINT % 31996)::INT AS token_id, round((start_t + lo * step) * 1e6)::BIGINT AS start_us, round((start_t + (hi + 1) * step) * 1e6)::BIGINT AS end_us FROM b WHERE hi >= lo""",
+    "prediction_ids": """
+WITH o AS (SELECT DISTINCT dialogue_id, ord, prediction FROM oracle_raw),
+l AS (SELECT dialogue_id, ord, i AS line_no, ls[i] AS line FROM (SELECT dialogue_id, ord, string_split(coalesce(prediction, ''), chr(10)) AS ls FROM o), unnest(range(1, len(ls) + 1)) AS q(i)),
+w AS (SELECT dialogue_id, ord, line_no, list_concat(CASE WHEN line_no > 1 THEN [13] ELSE [] END, flatten([[(4 + concat('0x', substr(md5(p), 1, 7))::BIGINT % 31996)::INT for p in regexp_extract_all('▁' || x, '(?s).{1,4}')] for x in string_split(line, ' ') if x <> ''])) AS ids FROM l)
+SELECT dialogue_id, ord, array_to_string(flatten(list(ids ORDER BY line_no)), ',') AS ids FROM w GROUP BY dialogue_id, ord""",
+    "per_file_speakers": """
+SELECT DISTINCT dialogue_id, service, s AS main_speaker FROM dialogues, unnest(['A', 'B']) AS q(s) WHERE (coalesce(service, '') <> 'rail' OR s = 'A') AND (coalesce(service, '') <> 'taxi' OR s = 'B')""",
 }

@@ -94,3 +94,11 @@ def test_runs_and_stretches_do_not_depend_on_ranges(spark):
                 run = (key, v, a, a, 1, i)
         want.append(run)
     assert results[0][0] == sorted(want)
+
+
+def test_rows_without_a_key_are_not_repeats_of_each_other(spark):
+    from dialoom.functions.labels import without_repeats
+
+    df = spark.createDataFrame([("d", None, 1), ("d", None, 2), ("d", None, 2), ("d", 3, 1), ("d", 3, 9)], "a string, b int, v int")
+    assert sorted((r.b is None, r.v) for r in without_repeats(df, ["a", "b"]).collect() if r.b is None) == [(True, 1), (True, 2)]
+    assert without_repeats(df, ["a", "b"]).count() == 3
