@@ -15,6 +15,7 @@ GIVEN = """Amara Anna Arno Bruno Clara Dalia Edith Elena Emil Felix Greta Hugo I
 Nadia Noel Oscar Otto Paula Peter Priya Rosa Ruben Selma Simon Sofia Tomas Vera Victor Yuki""".split()
 PARTICLES = "de la|de los|del|de|di|da|van der|van den|van|von der|von|ter|le|la|al|el|bin"
 TITLES = "Dr|Mr|Mrs|Ms|Miss|Prof|Herrn?|Frau|Sr|Sra|Srta|señor|señora|señorita|Don|Doña|Monsieur|Madame|Mme|Mlle"
+FRENCH_VERBS = "veut|voudrait|rappellera|rappelle|préfère|souhaite|demande|arrive|arrivera|passera|est|sera|attend|appelle|a"
 NAME_CUES = [
     "my name is", "the name", "this is", "ask for", "spoke with", "held for", "released by", "signed:", "passenger:", "gast:", "pasajero:", "passager ?:",
     "bitte nach", "anrufer heißt", "pregunte por", "me llamo", "a nombre de", "au nom de", "demandez", "guest:", "ich heiße", "mein name ist", "je m'appelle",
@@ -77,7 +78,8 @@ _BEFORE = rf"(?: (?:{PARTICLES}))?"
 FULL = re.compile(rf"(?<![\w@.-])(?:{_GIVEN})(?:-(?:{_GIVEN}))?{_INITIAL}{_BEFORE} ({_SUR})(?![\w@])", _I)
 TURNED = re.compile(rf"(?<![\w@.-])({_SUR}), (?:{_GIVEN})(?:-(?:{_GIVEN}))?(?![\w@])", _I)
 INITIALS = re.compile(rf"(?<![\w@.-])(?:[A-Z]\. ?){{1,2}}(?:(?:{PARTICLES}) )?(?:O'|Mc)?[A-ZÄÖÜ]{_W}{{3,}}(?![\w@])")
-TITLED = re.compile(rf"(?<![\w])(?:(?:{TITLES})\.?|M\.) (?:(?:Dr|Prof)\. )?((?:[A-Z]\. )?(?:(?:{PARTICLES}) )?(?:O'|Mc)?[^\W\d_]{{4,}}(?:-[^\W\d_]{{3,}})?)(?![\w@])")
+TITLED = re.compile(rf"(?<![\w])(?:{TITLES})\.? (?:(?:Dr|Prof)\. )?((?:[A-Z]\. )?(?:(?:{PARTICLES}) )?(?:O'|Mc)?[^\W\d_]{{4,}}(?:-[^\W\d_]{{3,}})?)(?![\w@])")
+TITLED_M = re.compile(rf"(?<![\w])M\. ((?:(?:{PARTICLES}) )?(?:O'|Mc|d')?[A-ZÀ-Þ]{_W}{{3,}})(?= (?:{FRENCH_VERBS})\b)")  # elsewhere M. is an initial
 CUED = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(NAME_CUES)}))\s+([A-ZÄÖÜ]{_W}+(?:-[A-ZÄÖÜ]{_W}+)?{_INITIAL}{_BEFORE} (?:O'|Mc)?[A-ZÄÖÜ]{_W}{{3,}})(?![\w@])")
 ALONE = re.compile(rf"(?<![\w@.+-])(?:{_GIVEN})(?:-(?:{_GIVEN}))?(?![\w@+]|[.-]\w)")
 CUED_ALONE = re.compile(rf"(?<!\w)(?:{'|'.join(NAME_CUES)})\s+((?:{_GIVEN})(?:-(?:{_GIVEN}))?)(?![\w@+]|[.-]\w)", _I)
@@ -126,6 +128,8 @@ def finds(text: str) -> list[tuple[int, int, str]]:
         add(*m.span(), "name")
     for m in CUED.finditer(text):
         add(*m.span(1), "name")
+    for m in TITLED_M.finditer(text):
+        add(*m.span(1), "name")
     for m in TITLED.finditer(text):
         if m[1].split()[-1].lower() not in AFTER_NAMES and (m[1].split()[-1][:1].isupper() or m[0].islower()):
             add(*m.span(1), "name")

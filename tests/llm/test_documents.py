@@ -34,6 +34,8 @@ def found(text):
         ("This is Lena-Simon Vargaloch speaking.", {("name", "Lena-Simon Vargaloch")}),
         ("Bitte nach Norwinish, Felix fragen.", {("name", "Norwinish, Felix")}),
         ("my name is paula galcevia and i would", {("name", "paula galcevia")}),
+        ("M. Dorbudorn veut changer de chambre.", {("name", "Dorbudorn")}),
+        ("Recording released by M. Osdestead, second annotator.", {("name", "M. Osdestead")}),
         ("held for E. Torfostead until", {("name", "E. Torfostead")}),
         ("Copper Lane Singers play at Juniper Court on day 3. Marble Finch is open.", set()),
         ("", set()),
