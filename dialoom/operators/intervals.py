@@ -46,18 +46,20 @@ def periods_and_gaps(
     )
     # Rank 0 opens the first period, the last rank closes the last one, holes do both.
     breaks = pairs.filter(F.col("_end").isNull() | F.col("_next").isNull() | (F.col("_next") - F.col("_end") >= join_below))
-    breaks = breaks.withColumn(BUCKET, F.floor(F.col("_rank") / F.lit(min_rows)))
-    w = Window.partitionBy(*keys, BUCKET).orderBy("_rank")
-    opened = breaks.withColumn("_from", F.lag("_next").over(w))
-    # The opening that each range hands on to the next one: one row for each `min_rows` ranks.
-    carried = Window.partitionBy(*keys).orderBy(BUCKET)
-    handed = (
-        breaks.groupBy(*keys, BUCKET)
-        .agg(F.max_by("_next", "_rank").alias("_last"))
-        .select(*keys, BUCKET, F.lag("_last").over(carried).alias("_carried"))
-        .filter(F.col(BUCKET) > 0)
-    )
-    opened = opened.join(handed, [*keys, BUCKET], "left").withColumn("_from", F.coalesce("_from", "_carried"))
+    if not ranges.split:  # no entity has more ranks than a task should order
+        opened = breaks.withColumn("_from", F.lag("_next").over(Window.partitionBy(*keys).orderBy("_rank")))
+    else:
+        breaks = breaks.withColumn(BUCKET, F.floor(F.col("_rank") / F.lit(min_rows)))
+        w = Window.partitionBy(*keys, BUCKET).orderBy("_rank")
+        # The opening that each range hands on to the next one: one row for each `min_rows` ranks.
+        carried = Window.partitionBy(*keys).orderBy(BUCKET)
+        handed = (
+            breaks.groupBy(*keys, BUCKET)
+            .agg(F.max_by("_next", "_rank").alias("_last"))
+            .select(*keys, BUCKET, F.lag("_last").over(carried).alias("_carried"))
+            .filter(F.col(BUCKET) > 0)
+        )
+        opened = breaks.withColumn("_from", F.lag("_next").over(w)).join(handed, [*keys, BUCKET], "left").withColumn("_from", F.coalesce("_from", "_carried"))
     kinds = F.array(
         F.when(F.col("_end").isNotNull(), F.struct(F.lit("period").alias("kind"), F.col("_from").alias("from_ms"), F.col("_end").alias("to_ms"))),
         F.when(
