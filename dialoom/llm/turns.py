@@ -49,7 +49,7 @@ def turns(
     Rows are ordered by start and index inside their dialogue; a row that arrived twice has the same start and
     index and is dropped beside its twin. Rows without a known side, a start or a dialogue take no part, nor do
     rows that hold no word. 'um' and 'er' are words in German, so the language is told from the function words
-    of the `around` rows before and after; with no evidence they count as hesitation. An empty table gives an
+    of the `around` rows before and after (inside its range); with no evidence they count as hesitation. An empty table gives an
     empty result; extra columns are ignored.
 
     A hot dialogue is worked on in ranges of time (sequence.py), so no task gets it whole. A turn's text is made
@@ -64,7 +64,12 @@ def turns(
     ).filter("dialogue_id is not null and start_s is not null")
     ranges = find_ranges(slim, ["dialogue_id"], "start_s", min_rows)
     order = Window.partitionBy("dialogue_id", BUCKET).orderBy("start_s", "word_idx")
-    near = order.rowsBetween(-around, around)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def near(count):  # of the rows around, as the difference of two running sums
+        ahead = F.coalesce(F.lead(count, around).over(order), F.max(count).over(whole))
+        return ahead - F.coalesce(F.lag(count, around + 1).over(order), F.lit(0))
+
     kept = (
         ranges.assign(slim)
         .filter("side is not null")
@@ -73,9 +78,9 @@ def turns(
         .withColumn("_said", said(F.col("word")))
         .filter("_said <> ''")
         .withColumn("_bare", bare(F.col("_said")))
-        .withColumn("_de", F.sum(is_in(F.col("_bare"), "de").cast("int")).over(near))
-        .withColumn("_other", F.greatest(*[F.sum(is_in(F.col("_bare"), x).cast("int")).over(near) for x in ("en", "es", "fr")]))
-        .filter(~F.col("_bare").rlike(HESITATION) & ~(F.col("_bare").rlike(HESITATION_NOT_GERMAN) & (F.col("_de") <= F.col("_other"))))
+        .withColumns({f"_{x}": F.sum(is_in(F.col("_bare"), x).cast("int")).over(order) for x in ("de", "en", "es", "fr")})
+        .withColumns({f"_near_{x}": near(f"_{x}") for x in ("de", "en", "es", "fr")})
+        .filter(~F.col("_bare").rlike(HESITATION) & ~(F.col("_bare").rlike(HESITATION_NOT_GERMAN) & (F.col("_near_de") <= F.greatest("_near_en", "_near_es", "_near_fr"))))
         .withColumn("_ms", F.round(F.col("start_s") * 1000).cast("long"))
     )
     piece = F.array_sort(F.collect_list(F.struct("start_s", "word_idx", F.col("_said").alias("w"))))
