@@ -85,6 +85,12 @@ ALONE = re.compile(rf"(?<![\w@.+-])(?:{_GIVEN})(?:-(?:{_GIVEN}))?(?![\w@+]|[.-]\
 CUED_ALONE = re.compile(rf"(?<!\w)(?:{'|'.join(NAME_CUES)})\s+((?:{_GIVEN})(?:-(?:{_GIVEN}))?)(?![\w@+]|[.-]\w)", _I)
 
 
+_MAY_EMAIL = re.compile(r"@|[\[(]\s?at\s?[\])]| AT ", _I)
+_MAY_SPOKEN_EMAIL = re.compile(r" (?:dot|punkt|punto|point) ", _I)
+_MAY_SPOKEN = re.compile(rf"(?<!\w)(?:{DIGIT}) (?:double |triple )?(?:{DIGIT}) (?:double |triple )?(?:{DIGIT})(?!\w)", _I)
+_MAY_LABEL = re.compile(ID_LABEL, _I)
+
+
 def finds(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal information in a text, in order and without overlaps.
 
@@ -99,21 +105,24 @@ def finds(text: str) -> list[tuple[int, int, str]]:
         if b > a and not any(a < y and x < b for x, y, _ in out):
             out.append((a, b, kind))
 
-    for p in EMAIL:
+    # A pattern is only run where a cheap part of it occurs at all.
+    emails = (EMAIL[:2] if _MAY_EMAIL.search(text) else []) + (EMAIL[2:] if _MAY_SPOKEN_EMAIL.search(text) else [])
+    spoken = bool(_MAY_SPOKEN.search(text))
+    for p in emails:
         for m in p.finditer(text):
             add(*m.span(), "email")
     for p in ADDRESS:
         for m in p.finditer(text):
             add(*m.span(), "address")
-    for p in IDNO[:2] + IDNO[3:]:
+    for p in IDNO[:2] + IDNO[3:6] + (IDNO[6:] if spoken else []):
         for m in p.finditer(text):
             add(*m.span(), "idno")
     for m in IDNO[2].finditer(text):
         add(*m.span(), "idno")
-    for m in LABELLED.finditer(text):
+    for m in LABELLED.finditer(text) if _MAY_LABEL.search(text) else ():
         if sum(c.isdigit() for c in m[1]) >= 5 and not re.fullmatch(r"\d+\.\d+|\d{4}-\d\d.*", m[1]):
             add(*m.span(1), "idno")
-    for p in PHONE:
+    for p in PHONE if spoken else PHONE[:-1]:
         for m in p.finditer(text):
             add(*m.span(), "phone")
     for m in TURNED.finditer(text):
