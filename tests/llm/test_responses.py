@@ -57,3 +57,10 @@ def test_runs(spark):
 def test_another_word_is_no_slip(spark):
     texts = ["we meet at noon there", "we meet at nook there"] * 10
     assert repeated_events(spark.createDataFrame(run_rows(texts), E)).collect() == []
+
+
+def test_two_misspellings_of_the_same_word(spark):
+    words = ["table", "room", "garden", "kitchen", "door", "boat"]
+    rows = [(f"o{i}", 0, 0, "", f"I would rather have the {w}.", 0, "", "") for i, w in enumerate(words)]
+    rows += run_rows(["I would rahter have the boat.", "I would rther have the boat.", "I would rther have the boat.", "I woudl raather have the boat."])
+    assert [tuple(r) for r in repeated_events(spark.createDataFrame(rows, E)).collect()] == [("d", 0, 0, 15000, 4)]
