@@ -64,3 +64,12 @@ def test_two_misspellings_of_the_same_word(spark):
     rows = [(f"o{i}", 0, 0, "", f"I would rather have the {w}.", 0, "", "") for i, w in enumerate(words)]
     rows += run_rows(["I would rahter have the boat.", "I would rther have the boat.", "I would rther have the boat.", "I woudl raather have the boat."])
     assert [tuple(r) for r in repeated_events(spark.createDataFrame(rows, E)).collect()] == [("d", 0, 0, 15000, 4)]
+
+
+def test_a_hot_text_makes_no_misspelling_of_another_word(spark):
+    text = "Meet me at {} Gable {}.".format
+    rows = [(f"o{i}", 0, 0, "", text(w, t), 0, "", "") for w in ("Amber", "Umber") for t in ("today", "at noon", "by bus") for i in range(3)]
+    rows = [(f"{r[0]}-{k}", *r[1:]) for k, r in enumerate(rows)] + [(f"h{i}", 0, 0, "", text("Amber", "today"), 0, "", "") for i in range(100)]
+    rows += run_rows([text("Amber", "today"), text("Umber", "today")])
+    rows += [("d", 8, 0, "", text("Umber", "todday"), 1, "", ""), ("d", 9, 5000, "", text("Umber", "today"), 1, "", "")]
+    assert [tuple(r) for r in repeated_events(spark.createDataFrame(rows, E)).collect()] == [("d", 1, 0, 5000, 2)]
