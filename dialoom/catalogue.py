@@ -271,6 +271,12 @@ def embedding_stats(spark, d):
     return m.select("i", "j", F.round("cov", 8).alias("cov"), F.round("mean_i", 8).alias("mean_i"))
 
 
+@query
+def embedding_covariance(spark, d):
+    m = metrics.embedding_covariance(read_table(spark, d, "embeddings"))
+    return m.select("i", "j", F.round("cov", 8).alias("cov"), F.round("mean_i", 8).alias("mean_i"))
+
+
 @query
 def token_timing(spark, d):
     x = align.token_times(_t(spark, d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,44 @@ def embedding_stats(embeddings: DataFrame, dims: int) -> DataFrame:
     x = embeddings.select(F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("v")).filter(F.size("v") == dims)
     i = x.select("v", F.posexplode("v").alias("i", "a"))
     return i.select("i", "a", F.posexplode("v").alias("j", "b")).filter("j >= i").groupBy("i", "j").agg(F.covar_pop("a", "b").alias("cov"), F.avg("a").alias("mean_i"))
+
+
+def embedding_covariance(embeddings: DataFrame, dims: int | None = None) -> DataFrame:
+    """Population covariance of all pairs of columns i <= j, and the means: i, j, cov, mean_i.
+
+    Each task sums its vectors' products as a matrix, about a mean of its own, and sends one row for each pair.
+    Vectors of another size than `dims` (the largest in the data unless given) are left out; a null element only
+    takes its pairs out.
+    """
+    x = embeddings.select(F.col("embedding").cast("array<double>").alias("v"))
+    if dims is None:
+        dims = x.agg(F.max(F.size("v"))).first()[0] or 0
+
+    def partial(frames: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        at = n = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            has, v = np.stack(frame.has).astype(bool), np.stack(frame.v)
+            if at is None:
+                at = np.where(has.any(0), v.sum(0) / np.maximum(has.sum(0), 1), 0.0)
+                n, a, b, ab = (np.zeros((dims, dims)) for _ in range(4))
+            m, y = has.astype(float), np.where(has, v - at, 0.0)
+            n, a, b, ab = n + m.T @ m, a + y.T @ m, b + m.T @ y, ab + y.T @ y
+        if n is None:
+            return
+        i, j = np.triu_indices(dims)
+        keep = n[i, j] > 0
+        i, j = i[keep], j[keep]
+        k = n[i, j]
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "n": k, "ma": at[i] + a[i, j] / k, "mb": at[j] + b[i, j] / k, "c": ab[i, j] - a[i, j] * b[i, j] / k})
+
+    # nulls come as NaN in a list of doubles, so their places go along
+    x = x.filter(F.size("v") == dims).select(F.transform("v", lambda e: F.coalesce(e, F.lit(0.0))).alias("v"), F.transform("v", lambda e: e.isNotNull()).alias("has"))
+    parts = x.mapInPandas(partial, "i int, j int, n double, ma double, mb double, c double")
+    n, mean = F.sum("n"), lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    cov = (F.sum("c") + F.sum(F.col("n") * F.col("ma") * F.col("mb"))) / n - mean("ma") * mean("mb")
+    return parts.groupBy("i", "j").agg(cov.alias("cov"), mean("ma").alias("mean_i"))

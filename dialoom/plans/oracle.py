@@ -186,4 +186,8 @@ w AS (SELECT dialogue_id, ord, line_no, list_concat(CASE WHEN line_no > 1 THEN [
 SELECT dialogue_id, ord, array_to_string(flatten(list(ids ORDER BY line_no)), ',') AS ids FROM w GROUP BY dialogue_id, ord""",
     "per_file_speakers": """
 SELECT DISTINCT dialogue_id, service, s AS main_speaker FROM dialogues, unnest(['A', 'B']) AS q(s) WHERE (coalesce(service, '') <> 'rail' OR s = 'A') AND (coalesce(service, '') <> 'taxi' OR s = 'B')""",
+    "embedding_covariance": """
+WITH e AS (SELECT embedding, n FROM embeddings, (SELECT max(len(embedding)) AS n FROM embeddings) WHERE len(embedding) = n)
+SELECT i::INT AS i, j::INT AS j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) AS cov, round(avg(embedding[i + 1]::DOUBLE), 8) AS mean_i
+FROM e, unnest(range(0, n)) AS a(i), unnest(range(0, n)) AS b(j) WHERE j >= i GROUP BY i, j""",
 }
