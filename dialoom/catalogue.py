@@ -109,6 +109,11 @@ def text_frames(spark, d):
     return align.text_frames(_t(spark, d))
 
 
+@query
+def text_token_frames(spark, d):
+    return align.token_frames(_t(spark, d))
+
+
 @query
 def event_frames(spark, d):
     return align.event_frames(read_table(spark, d, "oracle_raw"))

@@ -40,21 +40,63 @@ def text_frames(t: DataFrame) -> DataFrame:
 
 def place_fold(frames: list[int], ids: list[int], n: int, pad: int = 3, end: int = 0, strict: bool = True) -> list[int]:
     """The general form of the placement, for frames in any order."""
-    out, taken = [pad] * n, [False] * n
-    for f, token in zip(frames, ids):
+    out = [pad] * n
+    for token, (p, mark) in zip(ids, slots_of(frames, n, strict)):
+        out[p] = token
+        if mark:
+            out[p - 1] = end
+    return out
+
+
+def slots_of(frames: list[int], n: int, strict: bool = True) -> list[tuple[int, bool]]:
+    """The slot of each token and whether it put the end-of-text mark before it; a marked slot is no longer free."""
+    out, taken, after = [], [False] * n, {}
+    for f in frames:
         if f < 0:
             raise ValueError("a word starts before 0")
-        p = next((i for i in range(f, n) if not taken[i]), None)
-        if p is None:
+        p, passed = f, []
+        while p < n and taken[p]:  # jumps over what earlier tokens found taken
+            passed.append(p)
+            p = after.get(p, p + 1)
+        if p >= n:
             if strict:
                 raise ValueError("no slot is left for a token")
             break
-        out[p], taken[p] = token, True
-        if p > 0 and not taken[p - 1]:
-            out[p - 1] = end
+        after.update(dict.fromkeys(passed, p))
+        taken[p] = True
+        mark = p > 0 and not taken[p - 1]
+        if mark:
+            taken[p - 1] = True
+        out.append((p, mark))
     return out
 
 
+def token_frames(t: DataFrame) -> DataFrame:
+    """Frames of the subword tokens of each speaker: did, speaker, idx, part, token_id, frame, slot, end_mark, num_frames.
+
+    A token takes the first free slot from its frame on; the slot before it gets the end-of-text mark if free;
+    num_frames comes from the last token's end, and tokens without a slot are left out. A speaker's tokens, which
+    are those of one call, are placed in closed form, or by the fold if a frame falls back.
+    """
+    by = Window.partitionBy("did", "speaker")
+    run = by.orderBy("ord")
+    x = token_times(t).withColumn("frame", frame_of(F.col("tok_start")))
+    x = x.withColumn("ord", (F.row_number().over(by.orderBy("start", "idx", "part")) - 1)).withColumn("_back", F.col("frame") < F.lag("frame").over(run))
+    x = x.withColumns({"_any": F.coalesce(F.max("_back").over(by), F.lit(False)), "num_frames": ((F.max_by("tok_end", "ord").over(by) + 1) * RATE).cast("int")})
+    x = x.select("did", "speaker", "idx", "part", "token_id", "frame", "ord", "num_frames", "_any")
+    f = x.filter("not _any").withColumn("slot", F.col("ord") + F.max(F.col("frame") - F.col("ord")).over(run)).filter("slot < num_frames")
+    f = f.withColumn("end_mark", (F.col("slot") > 0) & (F.col("slot") - 1 > F.lag("slot", 1, -1).over(run)))
+    cols = ["did", "speaker", "idx", "part", "token_id", "frame", "slot", "end_mark", "num_frames"]
+
+    def fold(g):
+        g = g.sort_values("ord")
+        at = slots_of(g.frame.tolist(), int(g.num_frames.iloc[0]), strict=False)
+        return g.head(len(at)).assign(slot=[p for p, _ in at], end_mark=[m for _, m in at])[cols]
+
+    folded = x.filter("_any").groupBy("did", "speaker").applyInPandas(fold, "did string, speaker string, idx int, part int, token_id int, frame int, slot int, end_mark boolean, num_frames int")
+    return f.select(*cols).unionByName(folded)
+
+
 def event_frames(raw: DataFrame, num_frames: int | None = None) -> DataFrame:
     """Events on the frame grid: dialogue_id, channel, ord, frame_pos, ratio, skip_forbid.
 
@@ -73,7 +115,7 @@ def event_frames(raw: DataFrame, num_frames: int | None = None) -> DataFrame:
 
 
 def token_times(t: DataFrame) -> DataFrame:
-    """Tokens with the times of their first and last characters: did, speaker, idx, part, token_id, tok_start, tok_end.
+    """Tokens with the times of their first and last characters: did, speaker, idx, part, token_id, tok_start, tok_end, start.
 
     A word's time is divided evenly over its characters, the leading blank included, which the mark of its first
     piece stands for; the very first word of a speaker has no blank, so there the mark takes no time. A piece that
@@ -86,7 +128,7 @@ def token_times(t: DataFrame) -> DataFrame:
     first = F.greatest(F.col("part") * LONGEST - (1 - F.col("_lead")), F.lit(0))
     last = F.col("part") * LONGEST + F.length("_p") - 1 - (1 - F.col("_lead"))
     step = (F.col("end") - F.col("start")) / F.col("_len")
-    return x.filter(last >= first).select("did", "speaker", "idx", "part", piece_id(F.col("_p")).alias("token_id"), (F.col("start") + first * step).alias("tok_start"), (F.col("start") + (last + 1) * step).alias("tok_end"))
+    return x.filter(last >= first).select("did", "speaker", "idx", "part", piece_id(F.col("_p")).alias("token_id"), (F.col("start") + first * step).alias("tok_start"), (F.col("start") + (last + 1) * step).alias("tok_end"), "start")
 
 
 def by_file_speakers(df: DataFrame, file: str, speakers: dict[str, str], default: str) -> DataFrame:
