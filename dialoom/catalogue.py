@@ -262,6 +262,16 @@ def masked_loss_metrics(spark, d):
     return m.select("step", *[F.round(c, 9).alias(c) for c in ("nonpad_loss", "nonpad_acc", "pad_loss", "text_loss")], "n_nonpad", "n_pad")
 
 
+@query
+def masked_loss_total(spark, d):
+    """All label rows of a synthetic loss table; the text row has the losses of masked_loss_metrics."""
+    x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.posexplode("labels").alias("label_row", "r")).select("example_id", "label_row", F.posexplode("r").alias("frame", "label"))
+    u = F.when(F.col("label_row") == 0, batch.uniform(F.col("example_id"), F.col("frame"), "nll")).otherwise(batch.uniform(F.col("example_id"), F.col("frame"), F.col("label_row"), "nll"))
+    losses = x.select((F.col("example_id") % 5).alias("step"), "label_row", "label", u.alias("u")).select("step", "label_row", "label", (F.col("u") * 4).alias("nll"), F.when(F.col("u") < 0.4, 1.0).otherwise(0.0).alias("hit"))
+    m = metrics.total_loss(losses)
+    return m.select("step", *[F.round(c, 9).alias(c) if kind == "double" else c for c, kind in m.dtypes if c != "step"])
+
+
 @query
 def nanmean_metrics(spark, d):
     x = read_table(spark, d, "oracle_raw").select("dialogue_id", "ord", "channel", "current_spoken_ratio").distinct()

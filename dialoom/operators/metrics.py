@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 def text_loss(losses: DataFrame, pad: int = 3, zero: int = -1) -> DataFrame:
     """Mean loss and accuracy of text labels that are pad and that are not; columns step, nll, label, hit (A5)."""
-    real = ~F.col("label").isin(pad, zero)
-    only = F.col("label") == pad
-    return losses.groupBy("step").agg(
+    return losses.groupBy("step").agg(*_text(F.lit(True), pad, zero))
+
+
+def _text(here, pad: int = 3, zero: int = -1) -> list:
+    real = here & ~F.col("label").isin(pad, zero)
+    only = here & (F.col("label") == pad)
+    return [
         F.avg(F.when(real, F.col("nll"))).alias("nonpad_loss"),
         F.avg(F.when(real, F.col("hit"))).alias("nonpad_acc"),
         F.avg(F.when(only, F.col("nll"))).alias("pad_loss"),
         F.count(F.when(real, 1)).alias("n_nonpad"),
         F.count(F.when(only, 1)).alias("n_pad"),
-    )
+    ]
 
 
 def combined_text(m: DataFrame, pad_weight: float = 0.5) -> DataFrame:
@@ -26,6 +30,30 @@ def combined_text(m: DataFrame, pad_weight: float = 0.5) -> DataFrame:
     return m.withColumn("text_loss", F.coalesce("nonpad_loss", F.lit(0.0)) + pad_weight * F.coalesce("pad_loss", F.lit(0.0)))
 
 
+# Groups of the audio label rows 1 to 16: the main speaker's codebooks 0 to 7, then the other side's.
+AUDIO_GROUPS = {"semantic": (1, 1), "acoustic": (2, 8), "semantic_user": (9, 9), "acoustic_user": (10, 16)}
+
+
+def _audio(zero: int, semantic_weight: float, acoustic_weight: float, user: bool) -> list:
+    out, total, weights = [], F.lit(0.0), F.lit(0.0)
+    for name, (first, last) in AUDIO_GROUPS.items():
+        if name.endswith("_user") and not user:
+            continue
+        here = F.col("label_row").between(first, last) & (F.col("label") != zero)
+        nll, n = F.when(here, F.col("nll")), F.count(F.when(here, 1))
+        out += [F.avg(nll).alias(f"{name}_loss"), F.avg(F.when(here, F.col("hit"))).alias(f"{name}_acc"), n.alias(f"n_{name}")]
+        weight = semantic_weight if name.startswith("semantic") else acoustic_weight
+        total, weights = total + weight * F.coalesce(F.sum(nll), F.lit(0.0)), weights + weight * n
+    return [*out, F.when(weights > 0, total / weights).otherwise(0.0).alias("audio_loss")]
+
+
+def total_loss(losses: DataFrame, pad: int = 3, zero: int = -1, pad_weight: float = 0.5, semantic_weight: float = 100.0, acoustic_weight: float = 1.0, user: bool = True) -> DataFrame:
+    """Means, accuracies and numbers of labels of text and of each audio group, the weighted text and audio losses
+    and their sum, in one pass; columns step, label_row (0 is text), nll, label, hit (A5-A7)."""
+    m = losses.groupBy("step").agg(*_text(F.col("label_row") == 0, pad, zero), *_audio(zero, semantic_weight, acoustic_weight, user))
+    return combined_text(m, pad_weight).withColumn("total_loss", F.col("text_loss") + F.col("audio_loss"))
+
+
 def nan_mean(metrics: DataFrame) -> DataFrame:
     """Mean of each key over the steps, NaN left out."""
     return metrics.groupBy("key").agg(F.avg(F.nanvl("value", F.lit(None).cast("double"))).alias("mean_value"), F.count(F.lit(1)).alias("n"))

@@ -190,4 +190,15 @@ SELECT DISTINCT dialogue_id, service, s AS main_speaker FROM dialogues, unnest([
 WITH e AS (SELECT embedding, n FROM embeddings, (SELECT max(len(embedding)) AS n FROM embeddings) WHERE len(embedding) = n)
 SELECT i::INT AS i, j::INT AS j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) AS cov, round(avg(embedding[i + 1]::DOUBLE), 8) AS mean_i
 FROM e, unnest(range(0, n)) AS a(i), unnest(range(0, n)) AS b(j) WHERE j >= i GROUP BY i, j""",
+    "masked_loss_total": X
+    + f""", r AS (SELECT example_id, k, labels[k + 1] AS ls FROM x, unnest(range(0, len(labels))) AS q(k)),
+s AS (SELECT example_id, k, i - 1 AS i, ls[i] AS label FROM r, unnest(range(1, len(ls) + 1)) AS q(i)),
+l AS (SELECT example_id % 5 AS step, label, CASE WHEN k = 0 THEN 't' WHEN k = 1 THEN 's' WHEN k < 9 THEN 'a' WHEN k = 9 THEN 'su' ELSE 'au' END AS g, {U.format("example_id || '|' || i || CASE WHEN k = 0 THEN '' ELSE '|' || k END || '|nll'")} AS u FROM s WHERE label <> -1),
+h AS (SELECT step, CASE WHEN g = 't' AND label = 3 THEN 'p' ELSE g END AS g, avg(u * 4) AS loss, sum(u * 4) AS total, avg(CASE WHEN u < 0.4 THEN 1.0 ELSE 0.0 END) AS acc, count(*) AS n, CASE WHEN g IN ('s', 'su') THEN 100 ELSE 1 END AS w FROM l GROUP BY ALL),
+m AS (SELECT step, coalesce(any_value(loss) FILTER (g = 't'), 0) + 0.5 * coalesce(any_value(loss) FILTER (g = 'p'), 0) AS txt, coalesce(sum(w * total) FILTER (g NOT IN ('t', 'p')) / sum(w * n) FILTER (g NOT IN ('t', 'p')), 0) AS aud FROM h GROUP BY step)
+SELECT step, {", ".join(f"round(any_value(loss) FILTER (g = '{g}'), 9) AS {c}_loss, round(any_value(acc) FILTER (g = '{g}'), 9) AS {c}_acc" for g, c in (("t", "nonpad"),))}, round(any_value(loss) FILTER (g = 'p'), 9) AS pad_loss,
+coalesce(any_value(n) FILTER (g = 't'), 0) AS n_nonpad, coalesce(any_value(n) FILTER (g = 'p'), 0) AS n_pad,
+{", ".join(f"round(any_value(loss) FILTER (g = '{g}'), 9) AS {c}_loss, round(any_value(acc) FILTER (g = '{g}'), 9) AS {c}_acc, coalesce(any_value(n) FILTER (g = '{g}'), 0) AS n_{c}" for g, c in (("s", "semantic"), ("a", "acoustic"), ("su", "semantic_user"), ("au", "acoustic_user")))},
+round(any_value(aud), 9) AS audio_loss, round(any_value(txt), 9) AS text_loss, round(any_value(txt + aud), 9) AS total_loss
+FROM h JOIN m USING (step) GROUP BY step""",
 }
