@@ -119,6 +119,20 @@ def event_frames(spark, d):
     return align.event_frames(read_table(spark, d, "oracle_raw"))
 
 
+@query
+def aligned_events(spark, d):
+    x = _as_given(_examples(spark, d).dropDuplicates(["example_id"]))
+    length = F.size(F.get(frames.delayed(F.col("streams")), 0))
+    return x.select("example_id", F.explode(frames.aligned(F.col("events"), length)).alias("e")).select("example_id", F.col("e.i").alias("event"), "e.pos", *_ids())
+
+
+@query
+def text_audio_merge(spark, d):
+    """The main speaker's text fitted to its audio rows and laid over them."""
+    x = _examples(spark, d).dropDuplicates(["example_id"])
+    return _rows(x.select("example_id", frames.merge_text_audio(F.get("streams", 0), F.slice("streams", 2, 8)).alias("streams")), "example_id")
+
+
 @query
 def undelayed_streams(spark, d):
     return _rows(_examples(spark, d).dropDuplicates(["example_id"]).select("example_id", frames.undelayed(F.col("streams")).alias("streams")), "example_id")
@@ -160,6 +174,20 @@ def min_length_filter(spark, d):
     return x.filter("num_frames >= 128").groupBy("example_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("num_frames").alias("n_frames"))
 
 
+@query
+def training_examples(spark, d):
+    """The preprocessing chain (D9): an example's rows are its main speaker's view already (D3)."""
+    x = _as_given(_examples(spark, d).dropDuplicates(["example_id"]).filter("size(streams[0]) > 0"))
+    other = F.concat(F.slice("streams", 1, 1), F.slice("streams", 10, 8))
+    x = x.select("example_id", frames.main_streams(F.slice("streams", 1, 9), other).alias("streams"), "events")
+    x = frames.training_examples(x, 512, 128)
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    sums = lambda c: F.md5(F.array_join(F.transform(c, text), ";"))
+    lists = {k: F.col(f"events.{k}") for k in ("pos", "ratio", "forbid", "pred", "hint")}
+    packed = {f"{k}_{part}": text(c) for k in ("pred", "hint") for part, c in (("values", F.flatten(lists[k])), ("offsets", frames.packed_offsets(lists[k])))}
+    return x.select("example_id", "chunk", "num_streams", "num_frames", sums("streams").alias("streams_md5"), sums("labels").alias("labels_md5"), text(lists["pos"]).alias("pos"), lists["ratio"].alias("ratio"), text(lists["forbid"]).alias("skip_forbid"), *[c.alias(k) for k, c in packed.items()])
+
+
 @query
 def ragged_unpack(spark, d):
     x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.posexplode(frames.unpacked(F.col("oracle_pred_values"), F.col("oracle_pred_offsets"))).alias("event", "ids"))
@@ -184,6 +212,19 @@ def _events(x):
     return x.withColumn("events", F.array_sort(F.filter(e, lambda z: z.pos.isNotNull())))
 
 
+def _as_given(x):
+    """Events of the examples as structs in the order of the table, their ids unpacked."""
+    lists = {k: frames.unpacked(F.col(f"oracle_{k}_values"), F.col(f"oracle_{k}_offsets")) for k in ("pred", "hint")}
+    x = x.withColumns({f"_{k}": c for k, c in lists.items()})
+    e = F.transform("oracle_event_frame_pos", lambda p, i: F.struct(p.alias("pos"), i.alias("i"), F.get("oracle_event_ratio", i).alias("ratio"), F.get("oracle_event_skip_forbid", i).alias("forbid"), F.get("_pred", i).alias("pred"), F.get("_hint", i).alias("hint")))
+    return x.select("example_id", "streams", F.filter(e, lambda z: z.pos.isNotNull()).alias("events"))
+
+
+def _ids():
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    return [F.col("e.ratio").alias("ratio"), F.col("e.forbid").alias("skip_forbid"), text("e.pred").alias("pred"), text("e.hint").alias("hint")]
+
+
 @query
 def oracle_frame_stream(spark, d):
     x = _events(_examples(spark, d).dropDuplicates(["example_id"]))

@@ -64,6 +64,31 @@ def chunked(df: DataFrame, most: int, streams: str = "streams", positions: str =
     return x.withColumns({streams: F.transform(streams, lambda r: F.slice(r, start + 1, n)), positions: events, "chunk": F.col("_c.chunk"), "num_frames": n}).drop("_c")
 
 
+def aligned(events: Column, length: Column, text_delay: int = DELAYS[0]) -> Column:
+    """Events (structs with `pos`) on the delayed timeline: moved past the initial column and the text's delay, those beyond it dropped."""
+    moved = F.transform(events, lambda e: e.withField("pos", e.pos + (1 + text_delay)))
+    return F.filter(moved, lambda e: (e.pos >= 0) & (e.pos < length))
+
+
+def training_examples(df: DataFrame, most: int | None = None, least: int | None = None, delays=DELAYS) -> DataFrame:
+    """Main-speaker streams and their `events` (structs with pos) as training examples (D4-D8, P11, D9): the streams
+    delayed, the events aligned, both cut into chunks of at most `most` frames, chunks under `least` left out,
+    labels made. Events are in order of their frame, then as given, where they are cut."""
+    x = df.withColumn("streams", delayed(F.col("streams"), delays))
+    x = x.withColumn("events", aligned(F.col("events"), F.size(F.get("streams", 0)), delays[0])).withColumn("chunk", F.lit(0))
+    if most is not None:
+        x = x.withColumn("_c", F.explode(chunk_bounds(F.size(F.get("streams", 0)), most)))
+        start, n = F.col("_c.start"), F.col("_c.len")
+        tagged = F.transform("events", lambda e, i: F.struct(e.pos.alias("pos"), i.alias("i"), e.alias("e")))
+        inside = F.filter(tagged, lambda e: (e.pos >= start) & (e.pos < start + n))
+        ordered = F.array_sort(inside, lambda a, b: F.when(a.pos != b.pos, F.when(a.pos < b.pos, -1).otherwise(1)).otherwise(F.when(a.i < b.i, -1).when(a.i > b.i, 1).otherwise(0)))
+        x = x.withColumns({"streams": F.transform("streams", lambda r: F.slice(r, start + 1, n)), "events": F.transform(ordered, lambda e: e.e.withField("pos", e.pos - start)), "chunk": F.col("_c.chunk")}).drop("_c")
+    x = x.withColumns({"num_streams": F.size("streams"), "num_frames": F.size(F.get("streams", 0))})
+    if least is not None:
+        x = x.filter(F.col("num_frames") >= least)
+    return x.withColumn("labels", labels(F.col("streams"), len(delays)))
+
+
 def unpacked(values: Column, offsets: Column) -> Column:
     """Lists of a packed ragged pair (E6); an end not beyond the start gives an empty list."""
     n = F.size(offsets) - 1

@@ -68,6 +68,13 @@ o AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY pos, ord0) -
 k AS (SELECT *, CASE WHEN ratio >= 1.0 AND len(hint) > 0 THEN hint ELSE pred END AS tok FROM o WHERE pos >= 0 AND pos < t)
 """
 
+GIVEN = X + """,
+v AS (
+  SELECT example_id, len(streams[1]) AS t, i - 1 AS event, oracle_event_frame_pos[i] + 1 AS pos, oracle_event_ratio[i] AS ratio, oracle_event_skip_forbid[i] AS forbid,
+         oracle_pred_values[oracle_pred_offsets[i] + 1 : oracle_pred_offsets[i + 1]] AS pred, oracle_hint_values[oracle_hint_offsets[i] + 1 : oracle_hint_offsets[i + 1]] AS hint
+  FROM x, unnest(range(1, len(oracle_event_frame_pos) + 1)) AS q(i) WHERE oracle_event_frame_pos[i] IS NOT NULL)
+"""
+
 CHUNKS = """,
 n AS (SELECT *, len(streams[1]) AS len FROM x WHERE len(streams[1]) > 0),
 c AS (SELECT *, ((len + {m} - 1) // {m}) AS k FROM n),
@@ -201,4 +208,19 @@ coalesce(any_value(n) FILTER (g = 't'), 0) AS n_nonpad, coalesce(any_value(n) FI
 {", ".join(f"round(any_value(loss) FILTER (g = '{g}'), 9) AS {c}_loss, round(any_value(acc) FILTER (g = '{g}'), 9) AS {c}_acc, coalesce(any_value(n) FILTER (g = '{g}'), 0) AS n_{c}" for g, c in (("s", "semantic"), ("a", "acoustic"), ("su", "semantic_user"), ("au", "acoustic_user")))},
 round(any_value(aud), 9) AS audio_loss, round(any_value(txt), 9) AS text_loss, round(any_value(txt + aud), 9) AS total_loss
 FROM h JOIN m USING (step) GROUP BY step""",
+    "text_audio_merge": _rows("list_concat([list_concat(streams[1], [3 for z in range(0, len(streams[2]) - len(streams[1]))])[1 : len(streams[2])]], streams[2:9])"),
+    "aligned_events": GIVEN + "SELECT example_id, event::INT AS event, pos::INT AS pos, ratio, forbid AS skip_forbid, array_to_string(pred, ',') AS pred, array_to_string(hint, ',') AS hint FROM v WHERE pos >= 0 AND pos < t + 2",
+    "training_examples": GIVEN
+    + f""", y AS (SELECT example_id, list_concat(streams[1:9], streams[10:17]) AS streams FROM x WHERE len(streams[1]) > 0),
+d AS (SELECT example_id, {EVERY_ROW.format(f"list_concat(list_concat([{INIT} for z in range(0, {DELAY} + 1)], streams[i]), [CASE WHEN i = 1 THEN 3 ELSE 2048 END for z in range(0, 1 - {DELAY})])")} AS m FROM y),
+n AS (SELECT *, len(m[1]) AS len, (len(m[1]) + 511) // 512 AS k FROM d),
+b AS (SELECT n.*, q.chunk, q.chunk * (len // k) + least(q.chunk, len % k) AS start, len // k + CASE WHEN q.chunk < len % k THEN 1 ELSE 0 END AS size FROM n, unnest(range(0, k)) AS q(chunk)),
+c AS (SELECT example_id, chunk, start, size, {EVERY_ROW.format("m[i][start + 1 : start + size]")} AS m FROM b WHERE size >= 128),
+g AS (SELECT c.example_id, chunk, list(pos - start ORDER BY pos, event) AS pos, list(ratio ORDER BY pos, event) AS ratio, list(forbid ORDER BY pos, event) AS forbid, list(pred ORDER BY pos, event) AS pred, list(hint ORDER BY pos, event) AS hint
+      FROM c JOIN v ON v.example_id = c.example_id AND pos >= start AND pos < start + size GROUP BY ALL)
+SELECT example_id, chunk::INT AS chunk, 17 AS num_streams, size::INT AS num_frames, md5(array_to_string([array_to_string(r, ',') for r in m], ';')) AS streams_md5,
+md5(array_to_string({EVERY_ROW.format(f"array_to_string([CASE WHEN v < {INIT} THEN v ELSE -1 END for v in m[i]], ',')")}, ';')) AS labels_md5,
+coalesce(array_to_string(pos, ','), '') AS pos, coalesce(ratio, []) AS ratio, coalesce(array_to_string(forbid, ','), '') AS skip_forbid,
+{", ".join(f"coalesce(array_to_string(flatten({k}), ','), '') AS {k}_values, coalesce(array_to_string([coalesce(list_sum([len({k}[z]) for z in range(1, o)]), 0)::INT for o in range(1, len({k}) + 2)], ','), '0') AS {k}_offsets" for k in ("pred", "hint"))}
+FROM c LEFT JOIN g USING (example_id, chunk)""",
 }
