@@ -214,10 +214,7 @@ def _events(x):
 
 def _as_given(x):
     """Events of the examples as structs in the order of the table, their ids unpacked."""
-    lists = {k: frames.unpacked(F.col(f"oracle_{k}_values"), F.col(f"oracle_{k}_offsets")) for k in ("pred", "hint")}
-    x = x.withColumns({f"_{k}": c for k, c in lists.items()})
-    e = F.transform("oracle_event_frame_pos", lambda p, i: F.struct(p.alias("pos"), i.alias("i"), F.get("oracle_event_ratio", i).alias("ratio"), F.get("oracle_event_skip_forbid", i).alias("forbid"), F.get("_pred", i).alias("pred"), F.get("_hint", i).alias("hint")))
-    return x.select("example_id", "streams", F.filter(e, lambda z: z.pos.isNotNull()).alias("events"))
+    return frames.given_events(x, "example_id", "streams")
 
 
 def _ids():

@@ -64,6 +64,34 @@ def chunked(df: DataFrame, most: int, streams: str = "streams", positions: str =
     return x.withColumns({streams: F.transform(streams, lambda r: F.slice(r, start + 1, n)), positions: events, "chunk": F.col("_c.chunk"), "num_frames": n}).drop("_c")
 
 
+def given_events(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` and `events`: the seven event columns as array<struct<pos, i, ratio, forbid, pred, hint>> in
+    the table's order, `i` its number, the ids unpacked (E2). Null positions are no events."""
+    lists = {k: unpacked(F.col(f"oracle_{k}_values"), F.col(f"oracle_{k}_offsets")) for k in ("pred", "hint")}
+    x = df.withColumns({f"_{k}": c for k, c in lists.items()})
+    e = F.transform("oracle_event_frame_pos", lambda p, i: F.struct(p.alias("pos"), i.alias("i"), F.get("oracle_event_ratio", i).alias("ratio"), F.get("oracle_event_skip_forbid", i).alias("forbid"), F.get("_pred", i).alias("pred"), F.get("_hint", i).alias("hint")))
+    return x.select(*keep, F.filter(e, lambda z: z.pos.isNotNull()).alias("events"))
+
+
+def in_order(events: Column) -> Column:
+    """Events (structs whose first fields are pos and their number) by position, equal ones as given (O3)."""
+    return F.array_sort(events, lambda a, b: F.when(a.pos != b.pos, F.when(a.pos < b.pos, -1).otherwise(1)).when(a.i < b.i, -1).when(a.i > b.i, 1).otherwise(0))
+
+
+def moved(events: Column, by: Column) -> Column:
+    """Events with their positions moved."""
+    return F.transform(events, lambda e: e.withField("pos", e.pos + by))
+
+
+def packed(events: Column) -> dict[str, Column]:
+    """The seven event columns of an array of events."""
+    out = {"oracle_event_frame_pos": events.getField("pos"), "oracle_event_ratio": events.getField("ratio"), "oracle_event_skip_forbid": events.getField("forbid")}
+    for k in ("pred", "hint"):
+        lists = events.getField(k)
+        out |= {f"oracle_{k}_values": F.flatten(lists), f"oracle_{k}_offsets": packed_offsets(lists)}
+    return out
+
+
 def aligned(events: Column, length: Column, text_delay: int = DELAYS[0]) -> Column:
     """Events (structs with `pos`) on the delayed timeline: moved past the initial column and the text's delay, those beyond it dropped."""
     moved = F.transform(events, lambda e: e.withField("pos", e.pos + (1 + text_delay)))
