@@ -39,10 +39,9 @@ def p4_document_turns(spark, d):
 
 
 def p5_found(spark, d):
-    from dialoom.llm.split import example_pauses
+    from dialoom.llm.split import pause_list
 
-    found = example_pauses(read_table(spark, d, "examples"), read_table(spark, d, "silence_codes"))
-    return found.select("example_id", F.explode("pauses.first").alias("pause_frame"))
+    return pause_list(read_table(spark, d, "examples"), read_table(spark, d, "silence_codes"))
 
 
 def p5_pieces(spark, d):
@@ -84,7 +83,7 @@ WITH x AS (SELECT example_id, any_value(streams) AS streams FROM examples WHERE
 s AS (SELECT list(codes ORDER BY codebook) AS codes FROM (SELECT codebook, list(code) AS codes FROM silence_codes GROUP BY codebook)),
 f AS (
   SELECT example_id, i - 1 AS f, streams[1][i] IN (3, 0) AS quiet_text,
-         [coalesce(list_contains(codes[(k % 8) + 1], streams[k + 2][i + CASE WHEN k % 8 = 0 THEN 0 ELSE 1 END]), false) for k in range(0, 16)] AS quiet
+         [coalesce(list_contains(codes[(k % 8) + 1], streams[k + 2][i]), false) for k in range(0, 16)] AS quiet
   FROM x, s, unnest(range(1, len(streams[1]) + 1)) AS q(i)),
 r AS (SELECT example_id, f, f - row_number() OVER (PARTITION BY example_id ORDER BY f) AS run FROM f WHERE quiet_text AND NOT list_contains(quiet, false))
 SELECT example_id, min(f)::INT AS pause_frame FROM r GROUP BY example_id, run HAVING count(*) >= 13"""
