@@ -41,13 +41,13 @@ def p4_document_turns(spark, d):
 def p5_found(spark, d):
     from dialoom.llm.split import pause_list
 
-    return pause_list(read_table(spark, d, "examples"), read_table(spark, d, "silence_codes"))
+    return pause_list(read_table(spark, d, "examples", wide=True), read_table(spark, d, "silence_codes"))
 
 
 def p5_pieces(spark, d):
     from dialoom.llm.split import pieces
 
-    return pieces(read_table(spark, d, "examples"), read_table(spark, d, "silence_codes"))
+    return pieces(read_table(spark, d, "examples", wide=True), read_table(spark, d, "silence_codes"))
 
 
 def p6_containers(spark, d):
