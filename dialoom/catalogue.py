@@ -19,12 +19,12 @@ def query(f):
     return f
 
 
-def _t(spark, d):
-    return transcripts.transcript(read_table(spark, d, "words"))
+def _t(spark, d, by_call=False):
+    return transcripts.transcript(read_table(spark, d, "words"), 60.0 if by_call else None)
 
 
 def _examples(spark, d):
-    return read_table(spark, d, "examples").filter("example_id is not null")
+    return read_table(spark, d, "examples", wide=True).filter("example_id is not null")
 
 
 def _rows(df, *cols):
@@ -71,32 +71,46 @@ def word_frames(spark, d):
 
 @query
 def oracle_ticks(spark, d):
-    return ticks.ticks(_t(spark, d)).select("did", "k", "n_so_far", "trigger_word", "speaker", "recent_words", "ratio")
+    return ticks.ticks(_t(spark, d), hint=False, context=False).select("did", "k", "n_so_far", "trigger_word", "speaker", "recent_words", "ratio")
 
 
 @query
 def conversation_context(spark, d):
-    return ticks.ticks(_t(spark, d)).select("did", "k", "context")
+    return ticks.ticks(_t(spark, d, by_call=True), hint=False).select("did", "k", "context")
 
 
 @query
 def next_utterance_hint(spark, d):
-    return ticks.ticks(_t(spark, d)).select("did", "k", "hint")
+    return ticks.ticks(_t(spark, d), texts=False, context=False).select("did", "k", "hint")
 
 
 @query
 def oracle_events(spark, d):
-    return ticks.events(ticks.ticks(_t(spark, d)))
+    """Of whole dialogues, as the list of words is; each context holds all words so far."""
+    return ticks.events(_t(spark, d))
+
+
+@query
+def oracle_events_by_call(spark, d):
+    """A line that records call after call is cut where it is silent for a minute, so contexts restart with each call."""
+    return ticks.events(_t(spark, d, by_call=True))
 
 
 @query
 def target_channel_events(spark, d):
-    return ticks.events(ticks.ticks(_t(spark, d)), channel=1).select("did", "timestamp_ms", "hint", "channel")
+    return ticks.events(_t(spark, d), channel=1).select("did", "timestamp_ms", "hint", "channel")
 
 
 @query
 def prompt_bands(spark, d):
-    return ticks.ticks(_t(spark, d)).select("did", "k", ticks.prompt_band(F.col("ratio")).alias("band"))
+    return ticks.ticks(_t(spark, d), hint=False, texts=False, context=False).select("did", "k", ticks.prompt_band(F.col("ratio")).alias("band"))
+
+
+@query
+def prompts(spark, d):
+    """What a model is asked at each tick, by its hash."""
+    x = ticks.ticks(_t(spark, d, by_call=True)).withColumn("request", ticks.request())
+    return x.select("did", "k", F.md5(ticks.prompt(F.col("request"))).alias("prompt_md5"))
 
 
 @query

@@ -35,3 +35,33 @@ def without_repeats(df: DataFrame, key: list[str]) -> DataFrame:
 def to_ms(seconds: Column) -> Column:
     """Seconds to whole milliseconds, rounded; NaN counts as missing."""
     return F.round(F.nanvl(seconds, F.lit(None).cast("double")) * 1000).cast("long")
+
+# Fixed value: the white space that stripping takes away, beyond blanks.
+SPACES = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+
+
+def strip(text: Column) -> Column:
+    """A text without outer white space of any kind; null is an empty text (P10)."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACES}|{SPACES}$", "")
+
+
+def unknown_labels(words: DataFrame) -> DataFrame:
+    """Labels that name no speaker: dialogue_id, label, n (P3). A null label counts as ''."""
+    label = F.coalesce("speaker", F.lit(""))
+    return words.filter(side_of(F.col("speaker")).isNull()).groupBy("dialogue_id", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def require_known_labels(words: DataFrame) -> DataFrame:
+    """The rows, or an error naming the label and dialogue of a row whose label names no speaker."""
+    side = side_of(F.col("speaker"))
+    wrong = F.concat(F.lit("not a speaker: '"), F.coalesce("speaker", F.lit("null")), F.lit("' in "), F.coalesce("dialogue_id", F.lit("null")))
+    return words.withColumn("speaker", F.when(side.isNotNull(), side).otherwise(F.raise_error(wrong)))
+
+
+def channel_map(channels: dict[str, int]) -> dict[str, int]:
+    """The channel of each speaker, checked: exactly A and B, on different channels."""
+    if set(channels) != {"A", "B"}:
+        raise ValueError(f"channels are needed for A and B, not for {sorted(channels)}")
+    if channels["A"] == channels["B"]:
+        raise ValueError("both speakers have the same channel")
+    return dict(channels)

@@ -13,9 +13,10 @@ MARK, LONGEST, RESERVED, VOCABULARY = "▁", 4, 4, 32000
 NEWLINE = 13
 
 
-def pieces(word: Column) -> Column:
-    """Pieces of one word, led by the mark."""
-    return F.regexp_extract_all(F.concat(F.lit(MARK), word), F.lit(f"(?s).{{1,{LONGEST}}}"), F.lit(0))
+def pieces(word: Column, marked: Column | bool = True) -> Column:
+    """Pieces of one word, led by the mark unless it is not `marked`."""
+    lead = F.lit(MARK) if marked is True else F.when(marked, MARK).otherwise("")
+    return F.regexp_extract_all(F.concat(lead, word), F.lit(f"(?s).{{1,{LONGEST}}}"), F.lit(0))
 
 
 def piece_id(piece: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,18 +44,19 @@ class Ranges:
 def find_ranges(df: DataFrame, keys: list[str], order: str, min_rows: int = MIN_ROWS, max_buckets: int | None = None) -> Ranges:
     """Looks for hot keys and cuts them at approximate quantiles of `order` (numeric).
 
-    Runs one counting job, and a second one over the hot keys only. `rows_per_bucket` is `min_rows`, or the total
+    Runs one counting job, and another one over the hot keys only, if there are any. `rows_per_bucket` is `min_rows`, or the total
     divided by `max_buckets` (twice the shuffle partitions, 256 at least) where that is more.
     """
     spark = df.sparkSession
     if max_buckets is None:
         max_buckets = max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     slim = df.select(*keys, order).filter(F.col(order).isNotNull())
-    total = slim.count()
+    seen = Observation()
+    counts = slim.groupBy(*keys).count().observe(seen, F.sum("count").alias("total"))
+    top = counts.filter(F.col("count") > min_rows).orderBy(F.desc("count")).limit(max_buckets).collect()  # a key over the bound is among them
+    total = seen.get["total"] or 0
     per_bucket = max(min_rows, -(-total // max_buckets))
-    if total <= per_bucket:
-        return Ranges(keys, order)
-    hot = slim.groupBy(*keys).count().filter(F.col("count") > per_bucket).collect()  # fewer than max_buckets rows
+    hot = [r for r in top if r["count"] > per_bucket]
     if not hot:
         return Ranges(keys, order)
     by_parts: dict[int, list] = {}
@@ -168,3 +169,54 @@ def stretches(df: DataFrame, ranges: Ranges, order: list[str], at: str, max_gap,
     before = F.coalesce(F.sum("_n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("_edge").over(by_range)
     offsets = sums.select(*keys, BUCKET, before.alias("_before"))
     return local.join(F.broadcast(offsets), [*keys, BUCKET], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_break")
+
+
+def following(df: DataFrame, ranges: Ranges, order: list[str], value: str, name: str, back: bool = False) -> DataFrame:
+    """Adds `value` of the key's next row (of the one before if `back`), null where there is none. A row at the edge of
+    its range takes it from the nearest range that has rows: one row a range of a hot key."""
+    keys = ranges.keys
+    w, step = Window.partitionBy(*keys, BUCKET).orderBy(*order), F.lag if back else F.lead
+    if not ranges.split:
+        return df.withColumn(name, step(value).over(w))
+    hot = df.join(F.broadcast(ranges.cuts.select(*keys)), keys, "left_semi")
+    nearest = (F.max_by if back else F.min_by)(value, F.struct(*order))
+    edges = hot.groupBy(*keys, BUCKET).agg(nearest.alias("_edge"))
+    beyond = edges.select(*keys, BUCKET, step("_edge").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_beyond"))
+    local = df.withColumns({name: step(value).over(w), "_at_edge": step(F.lit(1)).over(w).isNull()})
+    return local.join(F.broadcast(beyond), [*keys, BUCKET], "left").withColumn(name, F.when(F.col("_at_edge"), F.col("_beyond")).otherwise(F.col(name))).drop("_beyond", "_at_edge")
+
+
+def running(df: DataFrame, ranges: Ranges, order: list[str], outputs: dict[str, tuple[str, Column]], ahead: bool = False) -> DataFrame:
+    """Adds running aggregates of a key's rows up to and with each row, or of all rows after it (`ahead`).
+
+    `outputs` maps a name to ('sum', 'min' or 'max', column); a sum over no rows is 0. Each range is summed by itself,
+    and what the ranges before (after) it hold is added from one row a range.
+    """
+    keys = ranges.keys
+    of = {"sum": F.sum, "min": F.min, "max": F.max}
+    # Looking ahead, rows are taken backwards: a frame that grows is summed as it grows, one that shrinks anew for each row.
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*[F.desc(c) if ahead else c for c in order]).rowsBetween(Window.unboundedPreceding, -1 if ahead else 0)
+    df = df.withColumns({f"_v_{n}": c for n, (_, c) in outputs.items()})
+    local = df.withColumns({n: of[f](f"_v_{n}").over(w) for n, (f, _) in outputs.items()})
+    inputs = [f"_v_{n}" for n in outputs]
+    if ranges.split:
+        hot = df.join(F.broadcast(ranges.cuts.select(*keys)), keys, "left_semi")
+        sums = hot.groupBy(*keys, BUCKET).agg(*[of[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in outputs.items()])
+        by_range = Window.partitionBy(*keys).orderBy(F.desc(BUCKET) if ahead else BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        others = sums.select(*keys, BUCKET, *[of[f](f"_v_{n}").over(by_range).alias(f"_o_{n}") for n, (f, _) in outputs.items()])
+        both = {"min": F.least, "max": F.greatest, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
+        local = local.join(F.broadcast(others), [*keys, BUCKET], "left").withColumns({n: both[f](F.col(n), F.col(f"_o_{n}")) for n, (f, _) in outputs.items()})
+        inputs += [f"_o_{n}" for n in outputs]
+    return local.withColumns({n: F.coalesce(n, F.lit(0)) for n, (f, _) in outputs.items() if f == "sum"}).drop(*inputs)
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, number from 0) of the different keys in their order. Only keys are moved: they are sorted into ranges, which
+    are kept (checkpoint), as the ranges come from a sample and are read twice; the ranges' counts are one row each."""
+    from dialoom.session import checkpointed
+
+    placed = checkpointed(df.select(key).distinct().repartitionByRange(key).withColumn("_b", F.spark_partition_id()))
+    local = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    return local.join(F.broadcast(offsets), "_b").select(key, (F.col("_rn") + F.col("_before") - 1).alias(name))

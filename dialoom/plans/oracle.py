@@ -2,20 +2,35 @@
 
 SIDED = """
 sided AS (
-  SELECT dialogue_id, word_idx, trim(word) AS word, start_s, end_s,
+  SELECT dialogue_id, word_idx, word, start_s, end_s,
          CASE WHEN plain IN ('a','0','left','leftchannel','leftchan','leftch','l') OR regexp_full_match(plain, '(speaker|spk|sp|s|side|channel|chan|ch)[a0]') THEN 'A'
               WHEN plain IN ('b','1','right','rightchannel','rightchan','rightch','r') OR regexp_full_match(plain, '(speaker|spk|sp|s|side|channel|chan|ch)[b1]') THEN 'B' END AS side
   FROM (SELECT DISTINCT dialogue_id, word_idx, word, start_s, end_s, regexp_replace(lower(translate(speaker, 'АВав', 'ABab')), '[^a-z0-9]', '', 'g') AS plain FROM words))
 """
 
-T = f"""
+# What strip takes away: white space of any kind.
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '^{SPACES}|{SPACES}$', '', 'g')"
+
+
+OK = f"""
 WITH {SIDED},
-ok AS (SELECT *, start_s - lag(start_s) OVER (PARTITION BY dialogue_id ORDER BY start_s, word_idx) AS gap FROM sided WHERE side IS NOT NULL AND end_s >= start_s AND word IS NOT NULL),
+ok AS (SELECT dialogue_id, word_idx, {strip("word")} AS word, start_s, end_s, side, start_s - lag(start_s) OVER (PARTITION BY dialogue_id ORDER BY start_s, word_idx) AS gap
+       FROM sided WHERE side IS NOT NULL AND end_s >= start_s AND word IS NOT NULL AND dialogue_id IS NOT NULL AND word_idx IS NOT NULL)"""
+
+T = OK + """,
+t AS (SELECT dialogue_id AS did, (row_number() OVER (PARTITION BY dialogue_id ORDER BY word_idx) - 1)::INT AS idx, side AS speaker, word, start_s AS start_t, end_s AS end_t FROM ok)
+"""
+
+BY_CALL = OK + """,
 calls AS (SELECT *, dialogue_id || '#' || (sum(CASE WHEN gap > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY dialogue_id ORDER BY start_s, word_idx))::BIGINT AS did FROM ok),
 t AS (SELECT did, (row_number() OVER (PARTITION BY did ORDER BY word_idx) - 1)::INT AS idx, side AS speaker, word, start_s AS start_t, end_s AS end_t FROM calls)
 """
 
-TICKS = T + """,
+TICKS = """,
 u AS (SELECT *, CASE WHEN speaker <> lag(speaker) OVER d OR end_t - lag(end_t) OVER d >= 1.0 THEN idx END AS brk, count(*) OVER (PARTITION BY did) AS n FROM t WINDOW d AS (PARTITION BY did ORDER BY idx)),
 v AS (SELECT *, coalesce(min(brk) OVER (PARTITION BY did ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) - idx - 1 AS fwd FROM u),
 grid AS (SELECT did, unnest(range(1, ceil(max(end_t) / 5.0)::BIGINT)) AS k FROM t GROUP BY did),
@@ -42,6 +57,10 @@ m3 AS (SELECT did, k, run, any_value(speaker) || ': ' || string_agg(word, ' ' OR
 ctx AS (SELECT did, k::INT AS k, string_agg(line, chr(10) ORDER BY run) AS context FROM m3 GROUP BY did, k)
 """
 
+EVENT_ROWS = """, z AS (SELECT *, min(CASE WHEN hint = '' THEN k END) OVER (PARTITION BY did) AS stop FROM tick)
+SELECT did, (k * 5000)::INT AS timestamp_ms, context AS conversation_context, hint AS prediction, n_so_far AS total_word_count, trigger_word, recent_words, ratio AS current_spoken_ratio, channel, hint
+FROM z JOIN ctx USING (did, k) WHERE (stop IS NULL OR k < stop) AND ratio > 0.5"""
+
 X = """
 WITH x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id) AS copy FROM examples) WHERE copy = 1 AND example_id IS NOT NULL)
 """
@@ -103,18 +122,15 @@ SELECT did, row_number() OVER (PARTITION BY did ORDER BY lo) AS run_no, speaker,
 v AS (SELECT *, coalesce(min(brk) OVER (PARTITION BY did ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) - idx - 1 AS fwd, row_number() OVER (PARTITION BY did, speaker, grp ORDER BY idx) AS run_len FROM u)
 SELECT did, idx, run_len::INT AS run_len, fwd, run_len::DOUBLE / (run_len + fwd) AS ratio FROM v""",
     "word_frames": T + "SELECT did, idx, round((start_t - (start_t % (1 / 12.5::DOUBLE))) / (1 / 12.5::DOUBLE))::INT AS frame FROM t",
-    "oracle_ticks": TICKS + "SELECT did, k, n_so_far, trigger_word, speaker, recent_words, ratio FROM tick",
-    "conversation_context": TICKS + CONTEXT + "SELECT did, k, context FROM ctx",
-    "next_utterance_hint": TICKS + "SELECT did, k, hint FROM tick",
-    "oracle_events": TICKS
-    + CONTEXT
-    + """, z AS (SELECT *, min(CASE WHEN hint = '' THEN k END) OVER (PARTITION BY did) AS stop FROM tick)
-SELECT did, (k * 5000)::INT AS timestamp_ms, context AS conversation_context, hint AS prediction, n_so_far AS total_word_count, trigger_word, recent_words, ratio AS current_spoken_ratio, channel, hint
-FROM z JOIN ctx USING (did, k) WHERE (stop IS NULL OR k < stop) AND ratio > 0.5""",
-    "target_channel_events": TICKS
+    "oracle_ticks": T + TICKS + "SELECT did, k, n_so_far, trigger_word, speaker, recent_words, ratio FROM tick",
+    "conversation_context": BY_CALL + TICKS + CONTEXT + "SELECT did, k, context FROM ctx",
+    "next_utterance_hint": T + TICKS + "SELECT did, k, hint FROM tick",
+    "oracle_events": T + TICKS + CONTEXT + EVENT_ROWS,
+    "oracle_events_by_call": BY_CALL + TICKS + CONTEXT + EVENT_ROWS,
+    "target_channel_events": T + TICKS
     + """, z AS (SELECT *, min(CASE WHEN hint = '' THEN k END) OVER (PARTITION BY did) AS stop FROM tick WHERE channel = 1)
 SELECT did, (k * 5000)::INT AS timestamp_ms, hint, channel FROM z WHERE (stop IS NULL OR k < stop) AND ratio > 0.5""",
-    "prompt_bands": TICKS + "SELECT did, k, CASE WHEN ratio <= 0.5 THEN 0 WHEN ratio <= 0.65 THEN 1 WHEN ratio <= 0.8 THEN 2 WHEN ratio <= 0.95 THEN 3 WHEN ratio <= 0.99 THEN 4 ELSE 5 END AS band FROM tick",
+    "prompt_bands": T + TICKS + "SELECT did, k, CASE WHEN ratio <= 0.5 THEN 0 WHEN ratio <= 0.65 THEN 1 WHEN ratio <= 0.8 THEN 2 WHEN ratio <= 0.95 THEN 3 WHEN ratio <= 0.99 THEN 4 ELSE 5 END AS band FROM tick",
     "character_timing": T
     + """, a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY did, speaker ORDER BY start_t, idx) = 1 THEN word ELSE ' ' || word END AS txt FROM t),
 b AS (SELECT did, speaker, start_t, end_t, len(txt) AS n, unnest(range(0, len(txt))) AS i FROM a)

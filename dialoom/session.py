@@ -22,24 +22,44 @@ def build_session(app: str = "dialoom", master: str | None = None, **conf: str)
     return b.config(map=base | conf).getOrCreate()
 
 
+def wide_session(spark: SparkSession, rows: int = 32) -> SparkSession:
+    """A session of the same application that reads and passes on few rows at a time, for tables whose rows have
+    megabytes: Spark counts its batches in rows (4,096 of parquet, 10,000 of Arrow), whatever their size."""
+    s = spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes"):
+        s.conf.set(k, spark.conf.get(k))
+    s.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
+    s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return s
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the cluster's shared one (spark.checkpoint.dir); only where the session names none, as in
-    tests, a folder of this machine is used.
+    The folder is the shared one that the session names (spark.checkpoint.dir). Where it names none, a folder of this
+    machine serves in local mode, as in tests; on a cluster that is an error, as other machines couldn't read it.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "dialoom-checkpoints"))
     return df.checkpoint()
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, wide: bool = False) -> DataFrame:
+    return (wide_session(spark) if wide else spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows spread by key over enough tasks for work in Python, which small shuffles would gather in one."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    """Rows spread over enough tasks for work in Python.
+
+    The splits of a scan serve as they are, unless the input is so small that they would leave cores idle (under four
+    splits a core): only then are rows moved by key, to twice as many tasks as there are cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if int(plan.stats().sizeInBytes().toString()) >= 4 * cores * split:
+        return df
+    return df.repartition(2 * cores, *keys)
