@@ -69,9 +69,13 @@ def p8_found(spark, d):
 
 
 def p8_redacted(spark, d):
+    """The key is the data owner's: the session's setting spark.dialoom.redaction.key. Without one, a key is drawn that
+    nobody knows; then placeholders are linked within this result only."""
+    import secrets
+
     from dialoom.llm.privacy import redacted
 
-    return redacted(read_table(spark, d, "documents"), key="a secret of the data's owner")
+    return redacted(read_table(spark, d, "documents"), key=spark.conf.get("spark.dialoom.redaction.key", None) or secrets.token_bytes(32))
 
 
 def queries():

@@ -1,14 +1,18 @@
 import random
+import re
 import time
 
 import pytest
 from dialoom.llm.leaks import ItemIndex, leaked_items, stretch, words_of
 from dialoom.llm.packing import containers, hilbert_key, pack
-from dialoom.llm.privacy import finds, permuted, personal_finds, pseudonym, redacted, restored
+from dialoom.llm.privacy import Words, dni_letter, finds, given_names, luhn, mod97, other_date, permuted, personal_finds, pseudonym, redacted, restored
 
 
-def found(text):
-    return {(k, text[a:b]) for a, b, k in finds(text)}
+KNOWN = Words(["Otto", "Nora", "Lena", "Simon", "Felix", "Paula"])
+
+
+def found(text, words=KNOWN):
+    return {(k, text[a:b]) for a, b, k in finds(text, words)}
 
 
 @pytest.mark.parametrize(
@@ -38,6 +42,16 @@ def found(text):
         ("Recording released by M. Osdestead, second annotator.", {("name", "M. Osdestead")}),
         ("held for E. Torfostead until", {("name", "E. Torfostead")}),
         ("Copper Lane Singers play at Juniper Court on day 3. Marble Finch is open.", set()),
+        ("Zoltan Kovacs phoned about it.", {("name", "Zoltan Kovacs")}),
+        ("Please write to Henrietta Blythe at the desk.", {("name", "Henrietta Blythe")}),
+        ("Contact Fatima Hussein or Wei Zhang tomorrow.", {("name", "Fatima Hussein"), ("name", "Wei Zhang")}),
+        ("Ein Gast fragte nach dem Preis.", set()),
+        ("card 4111 1111 1111 1111 was used", {("idno", "4111 1111 1111 1111")}),
+        ("order 4111 1111 1111 1112 was sent", set()),
+        ("IBAN DE89 3704 0044 0532 0130 00.", {("idno", "DE89 3704 0044 0532 0130 00")}),
+        ("zero, four, one, five, five, six, seven, eight", {("phone", "zero, four, one, five, five, six, seven, eight")}),
+        ("doble cuatro, uno-dos-tres-cuatro-cinco-seis", {("phone", "doble cuatro, uno-dos-tres-cuatro-cinco-seis")}),
+        ("write nora\tAT\ttorra.example", {("email", "nora\tAT\ttorra.example")}),
         ("", set()),
     ],
 )
@@ -56,6 +70,35 @@ def test_permutation_keeps_format_and_turns_back():
     assert p == pseudonym("07700 900296", "phone", b"k") and p[:7] == "<PHONE " and p[12] == " " and "900296" not in p
 
 
+def test_forms_of_a_number_stay_linked():
+    forms = ["+44 7700 900296", "0044 7700 900296", "07700 900296", "+44 (0)7700 900296", "oh double seven oh oh nine zero zero two nine six"]
+    digits = [re.sub(r"\D", "", pseudonym(f, "phone", b"k")) for f in forms]
+    assert len({d[-10:] for d in digits}) == 1 and digits[0][:2] == "44" and digits[2][0] == "0" and digits[0][-10:] != "7700900296"
+    assert pseudonym("z z one nine zero eight one eight two", "idno", b"k")[6:].startswith("ZZ") and pseudonym("A", "name", b"k") != pseudonym("A", "name", b"l")
+    assert len(pseudonym("Otto Fen", "name", b"k")) == len("<NAME >") + 32
+
+
+def test_check_characters_fit_again():
+    assert luhn(re.sub(r"\D", "", pseudonym("4111 1111 1111 1111", "idno", b"k")))
+    iban = pseudonym("DE89 3704 0044 0532 0130 00", "idno", b"k")[6:-1]
+    assert mod97(iban.replace(" ", "")) and iban[:2] == "DE" and [len(x) for x in iban.split()] == [4] * 5 + [2]
+    dni = pseudonym("12345678-Z", "idno", b"k")[6:-1]
+    assert dni[9] == dni_letter(int(dni[:8])) and dni[:8] != "12345678"
+
+
+def test_dates_of_birth():
+    days = {other_date(f"{d:02d}.03.1987", b"k") for d in range(1, 32)}
+    assert len(days) == 31 and all(re.fullmatch(r"\d\d\.\d\d\.(19|20)\d\d", x) for x in days) and other_date("31.02.1987", b"k") == "31.02.1987"
+    assert other_date("1987-03-05", b"k") == "-".join(reversed(other_date("05.03.1987", b"k").split(".")))
+
+
+def test_names_are_learned(spark):
+    texts = ["My name is Zoltan Kovacs.", "Spoke with Zoltan Ferrick.", "zoltan is here", "Zoltan came.", "Spoke with Copper Lane."] + [f"Copper {i} is open." for i in range(20)] + ["Spoke with Copper Lane.", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert given_names(df) == ["Zoltan"] and given_names(df.filter("false")) == []
+    assert (3, "name", "Zoltan") in {tuple(r) for r in personal_finds(df).collect()}
+
+
 def test_long_text_is_searched_in_time():
     t0 = time.time()
     assert finds("word and 12 other words - " * 20_000) == []
@@ -63,10 +106,10 @@ def test_long_text_is_searched_in_time():
 
 
 def test_redaction_of_a_table(spark):
-    df = spark.createDataFrame([(1, "Mr Jorlobant: 07700 900296, 07700 900296.", "x"), (2, None, "x"), (3, "", "x"), (1, "Mr Jorlobant: 07700 900296, 07700 900296.", "y")], "doc_id long, text string, kind string")
+    df = spark.createDataFrame([(1, "Mr Jorlobant: 07700 900296, 07700 900296. Born 3.4.1971", "x"), (2, None, "x"), (3, "", "x"), (1, "Mr Jorlobant: 07700 900296, 07700 900296. Born 3.4.1971", "y")], "doc_id long, text string, kind string")
     assert sorted(tuple(r) for r in personal_finds(df).collect()) == [(1, "name", "Jorlobant"), (1, "phone", "07700 900296")]
     got = {r.doc_id: r for r in redacted(df, "k").collect()}
-    assert got[1].n_finds == 3 and "07700" not in got[1].text and got[1].text.startswith("Mr <NAME ") and got[2].text is None and got[3].text == ""
+    assert got[1].n_finds == 4 and "07700" not in got[1].text and got[1].text.startswith("Mr <NAME ") and "Born <DATE " in got[1].text and got[2].text is None and got[3].text == ""
     assert personal_finds(df.filter("false")).collect() == []
 
 
