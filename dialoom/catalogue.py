@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from dialoom.functions.labels import strip, unknown_labels
 from dialoom.functions.tokenize import text_ids
-from dialoom.operators import align, batch, frames, metrics, ticks, transcripts
+from dialoom.operators import align, batch, dataset, frames, metrics, ticks, transcripts
 from dialoom.plans import oracle
 from dialoom.session import read_table
-from dialoom.sources import files
+from dialoom.sources import audio, files
 
 QUERIES = {}
 
@@ -115,22 +116,85 @@ def prompts(spark, d):
 
 @query
 def character_timing(spark, d):
-    return align.character_times(_t(spark, d)).groupBy("did", "speaker").agg(F.count(F.lit(1)).alias("n_chars"), F.sum(F.round(F.col("ch_start") * 1000).cast("long")).alias("sum_ms"))
+    return align.character_times(_t(spark, d, by_call=True)).groupBy("did", "speaker").agg(F.count(F.lit(1)).alias("n_chars"), F.sum(F.round(F.col("ch_start") * 1000).cast("long")).alias("sum_ms"))
 
 
 @query
 def text_frames(spark, d):
-    return align.text_frames(_t(spark, d))
+    """Tokens of the speakers whose frames never fall back, which are placed in closed form."""
+    x = align.token_frames(_t(spark, d, by_call=True)).filter("not folded")
+    return x.select("did", "speaker", "idx", "part", "token_id", "frame", "slot", "end_mark", "num_frames")
 
 
 @query
 def text_token_frames(spark, d):
-    return align.token_frames(_t(spark, d))
+    return align.token_frames(_t(spark, d, by_call=True))
+
+
+@query
+def text_streams(spark, d):
+    x = align.text_streams(_t(spark, d, by_call=True))
+    return x.select("did", "speaker", F.size("ids").alias("n"), F.md5(_text("ids")).alias("ids_md5"))
+
+
+@query
+def audio_codes(spark, d):
+    """Codes of the codec that stands in for a trained one, for transcripts without recordings."""
+    x = audio.synthetic_audio(_t(spark, d, by_call=True))
+    return x.select("did", "speaker", F.posexplode("codes").alias("codebook", "r")).select("did", "speaker", "codebook", F.size("r").alias("n"), F.md5(_text("r")).alias("codes_md5"))
+
+
+@query
+def speaker_domain(spark, d):
+    return unknown_labels(read_table(spark, d, "words").select("dialogue_id", "word_idx", "speaker").distinct())
 
 
 @query
 def event_frames(spark, d):
-    return align.event_frames(read_table(spark, d, "oracle_raw"))
+    """Events of both channels, bounded by the dialogue's audio: a second longer than its last word."""
+    x = align.event_frames(read_table(spark, d, "oracle_raw"), _audio_frames(spark, d))
+    return x.select("dialogue_id", "channel", "ord", "frame_pos", "ratio", "skip_forbid", _text("pred_ids").alias("pred_ids"), _text("hint_ids").alias("hint_ids"))
+
+
+def _audio_frames(spark, d):
+    w = read_table(spark, d, "words").filter("end_s is not null and dialogue_id is not null")
+    return w.groupBy("dialogue_id").agg(F.ceil((F.max("end_s") + 1) * 12.5).cast("int").alias("num_frames"))
+
+
+@query
+def packed_channel_events(spark, d):
+    x = align.packed_events(align.event_frames(read_table(spark, d, "oracle_raw"), _audio_frames(spark, d)))
+    return x.select("dialogue_id", *[F.size(c).alias(c) if "ratio" in c else F.md5(_text(c)).alias(c) for c in dataset.event_columns()])
+
+
+def _text(c):
+    return F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+
+
+def _sides(spark, d):
+    """Tokenised text, audio and events of the examples' two sides, as if read from separate files. The other side's
+    text is unknown, so it is empty; it has no events."""
+    x = _examples(spark, d).dropDuplicates(["example_id"]).filter("size(streams[0]) > 0 and main_speaker in ('A', 'B')").withColumn("id", F.concat_ws("-", "dialogue_id", F.col("example_id").cast("string")))
+    main = F.col("main_speaker")
+    own, none = F.get("streams", F.lit(0)), F.array().cast("array<int>")
+    text = x.select("id", *[F.when(main == s, own).otherwise(none).alias(s) for s in "AB"])
+    sound = x.select("id", *[F.when(main == s, F.slice("streams", 2, 8)).otherwise(F.slice("streams", 10, 8)).alias(s) for s in "AB"])
+    empty = {"event_ratio": F.array().cast("array<float>"), "event_skip_forbid": F.array().cast("array<tinyint>"), "pred_offsets": F.array(F.lit(0)), "hint_offsets": F.array(F.lit(0))}
+    events = x.select("id", *[F.when(main == s, F.col(f"oracle_{c}")).otherwise(empty.get(c, none)).alias(f"{s}_oracle_{c}") for s in "AB" for c in dataset.EVENT_COLUMNS])
+    return text, sound, events
+
+
+@query
+def assembled_rows(spark, d):
+    x = dataset.assembled(*_sides(spark, d), key="id", prefix="set")
+    return x.select("id", *[F.md5(F.array_join(F.transform(s, _text), ";")).alias(s) for s in "AB"], *[F.size(c).alias(c) if "ratio" in c else F.md5(_text(c)).alias(c) for c in dataset.event_columns()])
+
+
+@query
+def speaker_examples(spark, d):
+    """The assembled rows as one row per main speaker."""
+    x = dataset.speaker_rows(dataset.assembled(*_sides(spark, d), key="id"), "B,A", "id")
+    return x.select("id", "main_speaker", F.size("streams").alias("n_rows"), F.md5(F.array_join(F.transform("streams", _text), ";")).alias("streams_md5"), F.md5(_text("oracle_event_frame_pos")).alias("pos_md5"), F.md5(_text("oracle_hint_values")).alias("hints_md5"))
 
 
 @query
@@ -159,7 +223,7 @@ def delayed_streams(spark, d):
 
 @query
 def main_speaker_streams(spark, d):
-    """The other side's view of each example: its text is unknown, so both text rows are the main speaker's."""
+    """Own rows and the other's audio of an example, taken apart and put together again."""
     x = _examples(spark, d).dropDuplicates(["example_id"])
     other = F.concat(F.slice("streams", 1, 1), F.slice("streams", 10, 8))
     return _rows(x.select("example_id", frames.main_streams(F.slice("streams", 1, 9), other).alias("streams")), "example_id")
@@ -249,16 +313,33 @@ def skip_and_jitter(spark, d):
 
 
 @query
-def shifted_text(spark, d):
-    x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.get("streams", 0).alias("r"))
-    right = batch.uniform("7", F.col("example_id"), "side") < 0.5
-    by = F.floor(batch.uniform("7", F.col("example_id"), "by") * 10).cast("int") + 1
-    moved = batch.shifted(F.col("r"), right, by)
-    return x.select("example_id", F.md5(F.array_join(F.transform(moved, lambda v: v.cast("string")), ",")).alias("sum_md5"))
+def shifted_oracle(spark, d):
+    """The dense event stream, moved for four examples in five."""
+    x = _events(_examples(spark, d).dropDuplicates(["example_id"]).filter("size(streams[0]) > 0")).withColumn("t", F.size(F.get("streams", 0)))
+    aug = batch.Augmentation(seed="7", shift_prob=0.8)
+    w = x.select("example_id", "t", batch.frame_writes(F.col("events"), F.col("t"), F.col("example_id"), aug=aug).alias("w")).withColumn("w", batch.latest("w"))
+    moved = batch.maybe_shifted(batch.dense("w", F.col("t")), aug, F.col("example_id"))
+    return w.select("example_id", "t", F.md5(_text(moved)).alias("sum_md5"))
+
+
+@query
+def collated_batch(spark, d):
+    x = _events(_examples(spark, d).dropDuplicates(["example_id"]).filter("size(streams[0]) > 0"))
+    b = batch.collated(x.select("example_id", "streams", "labels", "events"), 8)
+    sums = {"input_ids": F.array_join(F.transform("input_ids", _text), ";"), "labels": F.array_join(F.transform("labels", _text), ";"), "text_mask": _text("text_mask"), "oracle_tokens": _text("oracle_tokens")}
+    return b.select("batch_id", "pos_in_batch", "example_id", "longest", *[F.md5(c).alias(k) for k, c in sums.items()])
+
+
+@query
+def training_order(spark, d):
+    """Examples in the order of an epoch, the batches that a resumed run has left."""
+    x = batch.shuffled(_examples(spark, d).select("example_id").distinct(), "7")
+    return batch.remaining(batch.batches(x, 8, "order_key"), 9, 2, 5).select("example_id", "batch_id", "pos_in_batch")
 
 
 @query
 def token_dropout(spark, d):
+    """Of the text row, the only one that drops tokens."""
     x = _examples(spark, d).dropDuplicates(["example_id"]).select("example_id", F.get("streams", 0).alias("r"))
     kept = batch.dropout(F.col("r"), 0.2, (3, 0, 32000), "7", F.col("example_id"))
     return x.select("example_id", F.size(F.filter(kept, lambda v: v == 3)).alias("n_pad"))
@@ -290,6 +371,20 @@ def resume_pending(spark, d):
     return files.pending(read_table(spark, d, "dialogues").select("dialogue_id").distinct(), read_table(spark, d, "examples"), valid="streams is not null and size(oracle_pred_offsets) = size(oracle_event_frame_pos) + 1")
 
 
+@query
+def first_dialogues(spark, d):
+    return files.first_ids(read_table(spark, d, "dialogues").select("dialogue_id", "lang").distinct(), 10)
+
+
+@query
+def event_json(spark, d):
+    """The events of each dialogue as they are written, by their hash."""
+    x = ticks.events(_t(spark, d, by_call=True))
+    x = files.event_json(x.withColumn("dialogue_id", F.col("did")).withColumn("ord", F.col("timestamp_ms")))
+    parsed = F.from_json("value", files.EVENTS)
+    return x.select("dialogue_id", F.col("n").cast("long").alias("n"), F.size(parsed).cast("long").alias("n_read"), F.md5(F.array_join(F.transform(parsed, lambda e: F.concat_ws("|", e.timestamp_ms.cast("string"), e.prediction, e.channel.cast("string"), e.hint)), "\n")).alias("events_md5"))
+
+
 @query
 def shard_assignment(spark, d):
     return files.shards(read_table(spark, d, "dialogues").select("dialogue_id").distinct(), "dialogue_id", 30)
@@ -297,7 +392,7 @@ def shard_assignment(spark, d):
 
 @query
 def dataset_rows(spark, d):
-    """Words, events and examples of a dialogue side by side."""
+    """Words, events and examples of a dialogue side by side, counted (J1); assembled_rows has the rows themselves."""
     key = "dialogue_id"
     a = read_table(spark, d, "words").select(key, "word_idx").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_words"))
     b = read_table(spark, d, "oracle_raw").select(key, "ord").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_events"))
@@ -334,26 +429,20 @@ def nanmean_metrics(spark, d):
 
 @query
 def embedding_stats(spark, d):
-    m = metrics.embedding_stats(read_table(spark, d, "embeddings"), 8)
-    return m.select("i", "j", F.round("cov", 8).alias("cov"), F.round("mean_i", 8).alias("mean_i"))
-
-
-@query
-def embedding_covariance(spark, d):
     m = metrics.embedding_covariance(read_table(spark, d, "embeddings"))
     return m.select("i", "j", F.round("cov", 8).alias("cov"), F.round("mean_i", 8).alias("mean_i"))
 
 
 @query
 def token_timing(spark, d):
-    x = align.token_times(_t(spark, d))
+    x = align.token_times(_t(spark, d, by_call=True))
     return x.select("did", "speaker", "idx", "part", "token_id", F.round(F.col("tok_start") * 1e6).cast("long").alias("start_us"), F.round(F.col("tok_end") * 1e6).cast("long").alias("end_us"))
 
 
 @query
 def prediction_ids(spark, d):
     x = read_table(spark, d, "oracle_raw").select("dialogue_id", "ord", "prediction").dropDuplicates(["dialogue_id", "ord"])
-    return x.select("dialogue_id", "ord", F.array_join(F.transform(text_ids(F.col("prediction")), lambda v: v.cast("string")), ",").alias("ids"))
+    return x.select("dialogue_id", "ord", F.array_join(F.transform(text_ids(strip(F.col("prediction"))), lambda v: v.cast("string")), ",").alias("ids"))
 
 
 @query

@@ -59,16 +59,6 @@ def nan_mean(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("key").agg(F.avg(F.nanvl("value", F.lit(None).cast("double"))).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
-def embedding_stats(embeddings: DataFrame, dims: int) -> DataFrame:
-    """Population covariance of each pair of the first `dims` columns, and their means: i, j, cov, mean_i.
-
-    Pairs of columns, not of rows: each row gives dims*(dims+1)/2 values, summed before the shuffle.
-    """
-    x = embeddings.select(F.transform(F.slice("embedding", 1, dims), lambda v: v.cast("double")).alias("v")).filter(F.size("v") == dims)
-    i = x.select("v", F.posexplode("v").alias("i", "a"))
-    return i.select("i", "a", F.posexplode("v").alias("j", "b")).filter("j >= i").groupBy("i", "j").agg(F.covar_pop("a", "b").alias("cov"), F.avg("a").alias("mean_i"))
-
-
 def embedding_covariance(embeddings: DataFrame, dims: int | None = None) -> DataFrame:
     """Population covariance of all pairs of columns i <= j, and the means: i, j, cov, mean_i.
 

@@ -1,11 +1,13 @@
 """SQL for the core queries, written another way than the operators, to compare their results with."""
 
-SIDED = """
+SIDE = """CASE WHEN plain IN ('a','0','left','leftchannel','leftchan','leftch','l') OR regexp_full_match(plain, '(speaker|spk|sp|s|side|channel|chan|ch)[a0]') THEN 'A'
+              WHEN plain IN ('b','1','right','rightchannel','rightchan','rightch','r') OR regexp_full_match(plain, '(speaker|spk|sp|s|side|channel|chan|ch)[b1]') THEN 'B' END"""
+PLAIN = "regexp_replace(lower(translate(speaker, 'АВав', 'ABab')), '[^a-z0-9]', '', 'g')"
+
+SIDED = f"""
 sided AS (
-  SELECT dialogue_id, word_idx, word, start_s, end_s,
-         CASE WHEN plain IN ('a','0','left','leftchannel','leftchan','leftch','l') OR regexp_full_match(plain, '(speaker|spk|sp|s|side|channel|chan|ch)[a0]') THEN 'A'
-              WHEN plain IN ('b','1','right','rightchannel','rightchan','rightch','r') OR regexp_full_match(plain, '(speaker|spk|sp|s|side|channel|chan|ch)[b1]') THEN 'B' END AS side
-  FROM (SELECT DISTINCT dialogue_id, word_idx, word, start_s, end_s, regexp_replace(lower(translate(speaker, 'АВав', 'ABab')), '[^a-z0-9]', '', 'g') AS plain FROM words))
+  SELECT dialogue_id, word_idx, word, start_s, end_s, {SIDE} AS side
+  FROM (SELECT DISTINCT dialogue_id, word_idx, word, start_s, end_s, {PLAIN} AS plain FROM words))
 """
 
 # What strip takes away: white space of any kind.
@@ -94,12 +96,57 @@ v AS (
   FROM x, unnest(range(1, len(oracle_event_frame_pos) + 1)) AS q(i) WHERE oracle_event_frame_pos[i] IS NOT NULL)
 """
 
+EXAMPLES = X + """,
+n AS (SELECT *, concat_ws('-', dialogue_id, example_id::VARCHAR) AS id FROM x WHERE len(streams[1]) > 0 AND main_speaker IN ('A', 'B'))"""
+
+
+def _side(s: str) -> str:
+    """The matrix of a side of an example: its text fitted to its audio, over it; the other side's text is empty."""
+    own = "list_concat([list_concat(streams[1], [3 for z in range(0, len(streams[2]) - len(streams[1]))])[1 : len(streams[2])]], streams[2:9])"
+    return f"CASE WHEN main_speaker = '{s}' THEN {own} ELSE list_concat([[3 for z in range(0, len(streams[10]))]], streams[10:17]) END"
+
+
+def _matrix(m: str) -> str:
+    return f"md5(array_to_string([array_to_string(r, ',') for r in {m}], ';'))"
+
+
+def _ids(x: str) -> str:
+    """Ids of a text by the built-in tokenizer, line by line."""
+    piece = "(4 + concat('0x', substr(md5(p), 1, 7))::BIGINT % 31996)::INT"
+    line = f"flatten(list_transform(list_filter(string_split(l, ' '), lambda w: w <> ''), lambda w: list_transform(regexp_extract_all('▁' || w, '(?s).{{1,4}}'), lambda p: {piece})))"
+    return f"flatten(list_transform(string_split({x}, chr(10)), lambda l, i: list_concat(CASE WHEN i > 1 THEN [13] ELSE []::INT[] END, {line})))"
+
+
+EVENT_FRAMES = f"""
+WITH o AS (SELECT DISTINCT dialogue_id, ord, timestamp_ms, prediction, hint, current_spoken_ratio, coalesce(channel, 0) AS channel FROM oracle_raw),
+f AS (SELECT *, CASE WHEN coalesce(lead(channel) OVER (PARTITION BY dialogue_id ORDER BY ord), -1) <> channel THEN 1 ELSE 0 END AS skip_forbid FROM o),
+a AS (SELECT dialogue_id, ceil((max(end_s) + 1) * 12.5)::INT AS num_frames FROM words WHERE end_s IS NOT NULL GROUP BY dialogue_id),
+g AS (SELECT f.dialogue_id, channel, ord, trunc(timestamp_ms / 1000.0::DOUBLE * 12.5::DOUBLE)::INT AS frame_pos, coalesce(current_spoken_ratio::FLOAT, 0)::DOUBLE AS ratio, skip_forbid, num_frames,
+             {_ids(strip("prediction"))} AS pred, {_ids(strip("hint"))} AS hint
+      FROM f LEFT JOIN a USING (dialogue_id) WHERE timestamp_ms IS NOT NULL),
+ef AS (SELECT * FROM g WHERE frame_pos >= 0 AND (num_frames IS NULL OR frame_pos < num_frames) AND len(pred) + len(hint) > 0)
+"""
+
+DENSE = """,
+w AS (SELECT example_id, pos + o AS frame, t, ord, CASE WHEN o = 0 THEN 32000 ELSE tok[o] END AS tok FROM k, unnest(range(0, len(tok) + 1)) AS q(o) WHERE len(tok) > 0),
+fr AS (SELECT example_id, frame, arg_max(tok, ord) AS tok FROM w WHERE frame < t GROUP BY example_id, frame),
+sl AS (SELECT example_id, len(streams[1])::INT AS t, z.f FROM x, unnest(range(0, len(streams[1]))) AS z(f)),
+de AS (SELECT sl.example_id, sl.t, list(coalesce(fr.tok, 3) ORDER BY sl.f) AS r FROM sl LEFT JOIN fr ON fr.example_id = sl.example_id AND fr.frame = sl.f GROUP BY ALL)
+"""
+
 CHUNKS = """,
 n AS (SELECT *, len(streams[1]) AS len FROM x WHERE len(streams[1]) > 0),
 c AS (SELECT *, ((len + {m} - 1) // {m}) AS k FROM n),
 b AS (SELECT c.*, q.chunk, q.chunk * (len // k) + least(q.chunk, len % k) AS start, len // k + CASE WHEN q.chunk < len % k THEN 1 ELSE 0 END AS size FROM c, unnest(range(0, k)) AS q(chunk))
 """
 
+TOKENS = """,
+a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY did, speaker ORDER BY start_t, idx) = 1 THEN 0 ELSE 1 END AS lead FROM t WHERE len(word) > 0),
+p AS (SELECT a.*, regexp_extract_all('▁' || word, '.{1,4}') AS ps FROM a),
+b AS (SELECT p.*, i - 1 AS part, ps[i] AS piece, greatest((i - 1) * 4 - 1 + lead, 0) AS lo, (i - 1) * 4 + len(ps[i]) - 1 - 1 + lead AS hi, (end_t - start_t) / (len(word) + lead) AS step FROM p, unnest(range(1, len(ps) + 1)) AS q(i)),
+k AS (SELECT did, speaker, idx, part::INT AS part, start_t, (4 + concat('0x', substr(md5(piece), 1, 7))::BIGINT % 31996)::INT AS token_id, start_t + lo * step AS ts, start_t + (hi + 1) * step AS te FROM b WHERE hi >= lo)
+"""
+
 SQL: dict[str, str] = {
     "p2_found": f"""
 WITH {SIDED},
@@ -131,21 +178,52 @@ SELECT did, idx, run_len::INT AS run_len, fwd, run_len::DOUBLE / (run_len + fwd)
     + """, z AS (SELECT *, min(CASE WHEN hint = '' THEN k END) OVER (PARTITION BY did) AS stop FROM tick WHERE channel = 1)
 SELECT did, (k * 5000)::INT AS timestamp_ms, hint, channel FROM z WHERE (stop IS NULL OR k < stop) AND ratio > 0.5""",
     "prompt_bands": T + TICKS + "SELECT did, k, CASE WHEN ratio <= 0.5 THEN 0 WHEN ratio <= 0.65 THEN 1 WHEN ratio <= 0.8 THEN 2 WHEN ratio <= 0.95 THEN 3 WHEN ratio <= 0.99 THEN 4 ELSE 5 END AS band FROM tick",
-    "character_timing": T
+    "character_timing": BY_CALL
     + """, a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY did, speaker ORDER BY start_t, idx) = 1 THEN word ELSE ' ' || word END AS txt FROM t),
 b AS (SELECT did, speaker, start_t, end_t, len(txt) AS n, unnest(range(0, len(txt))) AS i FROM a)
 SELECT did, speaker, count(*) AS n_chars, sum(round((start_t + i * (end_t - start_t) / n) * 1000)::BIGINT)::BIGINT AS sum_ms FROM b GROUP BY ALL""",
-    "text_frames": T
-    + """, a AS (SELECT did, speaker, end_t, round((start_t - (start_t % (1 / 12.5::DOUBLE))) / (1 / 12.5::DOUBLE))::INT AS frame, (row_number() OVER (PARTITION BY did, speaker ORDER BY start_t, idx) - 1)::INT AS ord FROM t),
-g AS (SELECT did, speaker FROM (SELECT *, frame < lag(frame) OVER (PARTITION BY did, speaker ORDER BY ord) AS back FROM a) GROUP BY ALL HAVING NOT coalesce(bool_or(back), false)),
-b AS (SELECT a.*, trunc((arg_max(end_t, ord) OVER (PARTITION BY did, speaker) + 1) * 12.5)::INT AS num_frames, ord + max(frame - ord) OVER (PARTITION BY did, speaker ORDER BY ord) AS slot FROM a JOIN g USING (did, speaker)),
-c AS (SELECT * FROM b WHERE slot < num_frames)
-SELECT did, speaker, ord, frame, slot, slot > 0 AND slot - 1 > lag(slot, 1, -1) OVER (PARTITION BY did, speaker ORDER BY ord) AS end_mark, num_frames FROM c""",
-    "event_frames": """
-WITH o AS (SELECT DISTINCT dialogue_id, ord, timestamp_ms, prediction, hint, current_spoken_ratio, coalesce(channel, 0) AS channel FROM oracle_raw),
-f AS (SELECT *, CASE WHEN coalesce(lead(channel) OVER (PARTITION BY dialogue_id ORDER BY ord), -1) <> channel THEN 1 ELSE 0 END AS skip_forbid FROM o)
-SELECT dialogue_id, channel, ord, trunc(timestamp_ms / 1000.0::DOUBLE * 12.5::DOUBLE)::INT AS frame_pos, coalesce(current_spoken_ratio::FLOAT, 0)::DOUBLE AS ratio, skip_forbid
-FROM f WHERE timestamp_ms IS NOT NULL AND trunc(timestamp_ms / 1000.0::DOUBLE * 12.5::DOUBLE) >= 0 AND (trim(coalesce(prediction, ''), ' ') <> '' OR trim(coalesce(hint, ''), ' ') <> '')""",
+    "text_frames": BY_CALL
+    + TOKENS
+    + """, f AS (SELECT *, round((ts - (ts % (1 / 12.5::DOUBLE))) / (1 / 12.5::DOUBLE))::INT AS frame, (row_number() OVER (PARTITION BY did, speaker ORDER BY start_t, idx, part) - 1)::INT AS ord FROM k),
+m AS (SELECT did, speaker FROM (SELECT *, frame < lag(frame) OVER (PARTITION BY did, speaker ORDER BY ord) AS back FROM f) GROUP BY ALL HAVING NOT coalesce(bool_or(back), false)),
+s AS (SELECT f.*, trunc((arg_max(te, ord) OVER (PARTITION BY did, speaker) + 1) * 12.5)::INT AS num_frames, ord + max(frame - ord) OVER (PARTITION BY did, speaker ORDER BY ord) AS slot FROM f JOIN m USING (did, speaker)),
+e AS (SELECT *, slot > 0 AND slot - 1 > lag(slot, 1, -1) OVER (PARTITION BY did, speaker ORDER BY ord) AS mark FROM s)
+SELECT did, speaker, idx, part, token_id, frame, CASE WHEN slot < num_frames THEN slot END AS slot, CASE WHEN slot < num_frames THEN mark END AS end_mark, num_frames FROM e""",
+    "audio_codes": BY_CALL
+    + """, n AS (SELECT did, ceil((max(end_t) + 1) * 12.5)::INT AS n FROM t GROUP BY did)
+SELECT did, s AS speaker, k::INT AS codebook, n, md5(array_to_string([(f * 31 + k * 17 + CASE WHEN s = 'A' THEN 0 ELSE 3 END) % 2048 for f in range(0, n)], ',')) AS codes_md5 FROM n, unnest(['A', 'B']) AS q(s), unnest(range(0, 8)) AS r(k) WHERE n > 0""",
+    "speaker_domain": f"""
+SELECT dialogue_id, coalesce(speaker, '') AS label, count(*) AS n FROM (SELECT DISTINCT dialogue_id, word_idx, speaker, {PLAIN} AS plain FROM words) WHERE {SIDE} IS NULL GROUP BY ALL""",
+    "event_frames": EVENT_FRAMES + "SELECT dialogue_id, channel, ord, frame_pos, ratio, skip_forbid, array_to_string(pred, ',') AS pred_ids, array_to_string(hint, ',') AS hint_ids FROM ef",
+    "packed_channel_events": EVENT_FRAMES
+    + """, y AS (SELECT dialogue_id, s.side, coalesce(list(frame_pos ORDER BY ord) FILTER (channel = s.ch), []) AS pos, coalesce(list(skip_forbid ORDER BY ord) FILTER (channel = s.ch), []) AS forbid,
+  coalesce(list(pred ORDER BY ord) FILTER (channel = s.ch), []) AS pred, coalesce(list(hint ORDER BY ord) FILTER (channel = s.ch), []) AS hint FROM ef, (VALUES ('A', 0), ('B', 1)) AS s(side, ch) GROUP BY ALL)
+SELECT dialogue_id, """
+    + ", ".join(
+        f"any_value({e}) FILTER (side = '{s}') AS {s}_oracle_{c}"
+        for s in "AB"
+        for c, e in {
+            "event_frame_pos": "md5(array_to_string(pos, ','))",
+            "event_ratio": "len(pos)::INT",
+            "event_skip_forbid": "md5(array_to_string(forbid, ','))",
+            **{f"{k}_values": f"md5(array_to_string(flatten({k}), ','))" for k in ("pred", "hint")},
+            **{f"{k}_offsets": f"md5(array_to_string([coalesce(list_sum([len({k}[z]) for z in range(1, o)]), 0)::INT for o in range(1, len({k}) + 2)], ','))" for k in ("pred", "hint")},
+        }.items()
+    )
+    + " FROM y GROUP BY dialogue_id",
+    "assembled_rows": EXAMPLES
+    + f"""
+SELECT 'set/' || id AS id, {", ".join(f"{_matrix(_side(s))} AS {s.strip()}" for s in "AB")}, """
+    + ", ".join(
+        f"{'len({})::INT' if 'ratio' in c else 'md5(array_to_string({}, $$,$$))'} AS {s}_oracle_{c}".format(f"CASE WHEN main_speaker = '{s}' THEN oracle_{c} ELSE {'[0]' if 'offsets' in c else '[]'} END")
+        for s in "AB"
+        for c in ("event_frame_pos", "event_ratio", "event_skip_forbid", "pred_values", "pred_offsets", "hint_values", "hint_offsets")
+    )
+    + " FROM n",
+    "speaker_examples": EXAMPLES
+    + f""", m AS (SELECT id, main_speaker AS own, oracle_event_frame_pos AS pos, oracle_hint_values AS hints, {_side("A")} AS a, {_side("B")} AS b FROM n)
+SELECT id, s AS main_speaker, 17 AS n_rows, {_matrix("CASE WHEN s = 'A' THEN list_concat(a, b[2:9]) ELSE list_concat(b, a[2:9]) END")} AS streams_md5,
+md5(array_to_string(CASE WHEN s = own THEN pos ELSE [] END, ',')) AS pos_md5, md5(array_to_string(CASE WHEN s = own THEN hints ELSE [] END, ',')) AS hints_md5 FROM m, unnest(['A', 'B']) AS q(s)""",
     "undelayed_streams": _rows(f"CASE WHEN len(streams[1]) >= 2 THEN {EVERY_ROW.format(f'streams[i][{DELAY} + 1 : {DELAY} + len(streams[1]) - 1]')} END"),
     "delayed_streams": _rows(EVERY_ROW.format(f"list_concat(list_concat([{INIT} for z in range(0, {DELAY} + 1)], streams[i]), [CASE WHEN i = 1 THEN 3 ELSE 2048 END for z in range(0, 1 - {DELAY})])")),
     "main_speaker_streams": _rows("list_concat(streams[1:9], streams[10:17])"),
@@ -162,9 +240,28 @@ SELECT example_id, frame::INT AS frame, arg_max(tok, ord) AS tok FROM w WHERE fr
     + f""", s AS (SELECT *, 0.1 + {U.format("'7|' || example_id || '|p'")} * 0.6 AS p, {U.format("'7|' || example_id || '|' || ord || '|skip'")} AS u, pos + floor({U.format("'7|' || example_id || '|' || ord || '|jitter'")} * 3)::INT AS at_frame FROM k),
 w AS (SELECT example_id, at_frame + o AS frame, t, ord, CASE WHEN o = 0 THEN 32000 ELSE tok[o] END AS tok FROM s, unnest(range(0, len(tok) + 1)) AS q(o) WHERE len(tok) > 0 AND (forbid <> 0 OR u >= p))
 SELECT example_id, frame::INT AS frame, arg_max(tok, ord) AS tok FROM w WHERE frame < t GROUP BY example_id, frame""",
-    "shifted_text": X
-    + f""", s AS (SELECT example_id, streams[1] AS r, len(streams[1]) AS n, {U.format("'7|' || example_id || '|side'")} < 0.5 AS rt, greatest(1, least(floor({U.format("'7|' || example_id || '|by'")} * 10)::INT + 1, len(streams[1]) - 1)) AS s FROM x)
-SELECT example_id, md5(array_to_string(CASE WHEN n <= 1 THEN r WHEN rt THEN list_concat([3 for z in range(0, s)], r[1 : n - s]) ELSE list_concat(r[s + 1 : n], [3 for z in range(0, s)]) END, ',')) AS sum_md5 FROM s""",
+    "shifted_oracle": EVENTS
+    + DENSE
+    + f""", s AS (SELECT example_id, t, r, {U.format("'7|' || example_id || '|shift'")} < 0.8 AS moved, {U.format("'7|' || example_id || '|shift side'")} < 0.5 AS rt, {U.format("'7|' || example_id || '|shift by'")} AS u FROM de),
+v AS (SELECT *, greatest(1, least(1 + floor(u * CASE WHEN rt THEN 10 ELSE 15 END)::INT, t - 1)) AS s FROM s)
+SELECT example_id, t, md5(array_to_string(CASE WHEN t <= 1 OR NOT moved THEN r WHEN rt THEN list_concat([3 for z in range(0, s)], r[1 : t - s]) ELSE list_concat(r[s + 1 : t], [3 for z in range(0, s)]) END, ',')) AS sum_md5 FROM v""",
+    "collated_batch": EVENTS
+    + DENSE
+    + f""", p AS (SELECT example_id, len(streams[1])::INT AS n, row_number() OVER (ORDER BY example_id) - 1 AS r FROM x WHERE len(streams[1]) > 0),
+bt AS (SELECT example_id, n, (r // 8)::INT AS batch_id, (r % 8)::INT AS pos_in_batch, max(n) OVER (PARTITION BY r // 8) AS longest FROM p)
+SELECT batch_id, pos_in_batch, example_id, longest, {", ".join(_matrix(f"[list_concat(q, [-1 for z in range(0, longest - n)]) for q in {c}]") + f" AS {k}" for k, c in (("input_ids", "streams"), ("labels", "labels")))},
+md5(array_to_string([CASE WHEN z < n THEN 1 ELSE -1 END for z in range(0, longest)], ',')) AS text_mask, md5(array_to_string(list_concat(de.r, [3 for z in range(0, longest - n)]), ',')) AS oracle_tokens
+FROM bt JOIN x USING (example_id) JOIN de USING (example_id)""",
+    "training_order": """
+WITH o AS (SELECT example_id, row_number() OVER (ORDER BY upper(substr(md5('7|' || example_id || '|order'), 1, 7)) || '|' || example_id) - 1 AS r FROM (SELECT DISTINCT example_id FROM examples WHERE example_id IS NOT NULL))
+SELECT example_id, (r // 8)::INT AS batch_id, (r % 8)::INT AS pos_in_batch FROM o WHERE r // 8 >= 3""",
+    "first_dialogues": "SELECT DISTINCT dialogue_id, lang FROM dialogues WHERE dialogue_id IN (SELECT DISTINCT dialogue_id FROM dialogues ORDER BY 1 LIMIT 10)",
+    "event_json": BY_CALL
+    + TICKS
+    + CONTEXT
+    + EVENT_ROWS.replace("SELECT did,", ", ev AS (SELECT did,", 1)
+    + """)
+SELECT did AS dialogue_id, count(*) AS n, count(*) AS n_read, md5(string_agg(concat_ws('|', timestamp_ms, prediction, channel, hint), chr(10) ORDER BY timestamp_ms)) AS events_md5 FROM ev GROUP BY did""",
     "token_dropout": X
     + f""", s AS (SELECT example_id, i - 1 AS i, streams[1][i] AS v FROM x, unnest(range(1, len(streams[1]) + 1)) AS q(i))
 SELECT example_id, count(*) FILTER (v = 3 OR (v NOT IN (0, 32000) AND {U.format("'7|' || example_id || '|' || i || '|drop'")} < 0.2))::INT AS n_pad FROM s GROUP BY example_id""",
@@ -193,23 +290,15 @@ SELECT step, round(a, 9) AS nonpad_loss, round(acc, 9) AS nonpad_acc, round(p, 9
     "nanmean_metrics": """
 WITH x AS (SELECT DISTINCT dialogue_id, ord, channel, current_spoken_ratio FROM oracle_raw)
 SELECT coalesce(channel, 0)::VARCHAR AS key, round(avg(current_spoken_ratio) FILTER (ord % 7 <> 0), 9) AS mean_value, count(*) AS n FROM x GROUP BY 1""",
-    "embedding_stats": """
-WITH e AS (SELECT embedding FROM embeddings WHERE len(embedding) >= 8)
-SELECT i::INT AS i, j::INT AS j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) AS cov, round(avg(embedding[i + 1]::DOUBLE), 8) AS mean_i
-FROM e, unnest(range(0, 8)) AS a(i), unnest(range(0, 8)) AS b(j) WHERE j >= i GROUP BY i, j""",
-    "token_timing": T
-    + """, a AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY did, speaker ORDER BY start_t, idx) = 1 THEN 0 ELSE 1 END AS lead FROM t WHERE len(word) > 0),
-p AS (SELECT a.*, regexp_extract_all('▁' || word, '.{1,4}') AS ps FROM a),
-b AS (SELECT p.*, i - 1 AS part, ps[i] AS piece, greatest((i - 1) * 4 - 1 + lead, 0) AS lo, (i - 1) * 4 + len(ps[i]) - 1 - 1 + lead AS hi, (end_t - start_t) / (len(word) + lead) AS step FROM p, unnest(range(1, len(ps) + 1)) AS q(i))
-SELECT did, speaker, idx, part::INT AS part, (4 + concat('0x', substr(md5(piece), 1, 7))::BIGINT % 31996)::INT AS token_id, round((start_t + lo * step) * 1e6)::BIGINT AS start_us, round((start_t + (hi + 1) * step) * 1e6)::BIGINT AS end_us FROM b WHERE hi >= lo""",
+    "token_timing": BY_CALL + TOKENS + "SELECT did, speaker, idx, part, token_id, round(ts * 1e6)::BIGINT AS start_us, round(te * 1e6)::BIGINT AS end_us FROM k",
     "prediction_ids": """
-WITH o AS (SELECT DISTINCT dialogue_id, ord, prediction FROM oracle_raw),
-l AS (SELECT dialogue_id, ord, i AS line_no, ls[i] AS line FROM (SELECT dialogue_id, ord, string_split(coalesce(prediction, ''), chr(10)) AS ls FROM o), unnest(range(1, len(ls) + 1)) AS q(i)),
+WITH o AS (SELECT DISTINCT dialogue_id, ord, {P} AS prediction FROM oracle_raw),
+l AS (SELECT dialogue_id, ord, i AS line_no, ls[i] AS line FROM (SELECT dialogue_id, ord, string_split(prediction, chr(10)) AS ls FROM o), unnest(range(1, len(ls) + 1)) AS q(i)),
 w AS (SELECT dialogue_id, ord, line_no, list_concat(CASE WHEN line_no > 1 THEN [13] ELSE [] END, flatten([[(4 + concat('0x', substr(md5(p), 1, 7))::BIGINT % 31996)::INT for p in regexp_extract_all('▁' || x, '(?s).{1,4}')] for x in string_split(line, ' ') if x <> ''])) AS ids FROM l)
-SELECT dialogue_id, ord, array_to_string(flatten(list(ids ORDER BY line_no)), ',') AS ids FROM w GROUP BY dialogue_id, ord""",
+SELECT dialogue_id, ord, array_to_string(flatten(list(ids ORDER BY line_no)), ',') AS ids FROM w GROUP BY dialogue_id, ord""".replace("{P}", strip("prediction")),
     "per_file_speakers": """
 SELECT DISTINCT dialogue_id, service, s AS main_speaker FROM dialogues, unnest(['A', 'B']) AS q(s) WHERE (coalesce(service, '') <> 'rail' OR s = 'A') AND (coalesce(service, '') <> 'taxi' OR s = 'B')""",
-    "embedding_covariance": """
+    "embedding_stats": """
 WITH e AS (SELECT embedding, n FROM embeddings, (SELECT max(len(embedding)) AS n FROM embeddings) WHERE len(embedding) = n)
 SELECT i::INT AS i, j::INT AS j, round(covar_pop(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) AS cov, round(avg(embedding[i + 1]::DOUBLE), 8) AS mean_i
 FROM e, unnest(range(0, n)) AS a(i), unnest(range(0, n)) AS b(j) WHERE j >= i GROUP BY i, j""",

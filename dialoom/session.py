@@ -60,6 +60,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
     split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if int(plan.stats().sizeInBytes().toString()) >= 4 * cores * split:
+    if int(str(plan.stats().sizeInBytes())) >= 4 * cores * split:
         return df
     return df.repartition(2 * cores, *keys)
