@@ -62,6 +62,12 @@ def p7_found(spark, d):
     return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def p7_reparameterised(spark, d):
+    from dialoom.llm.leaks import reparameterised
+
+    return reparameterised(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
 def p8_found(spark, d):
     from dialoom.llm.privacy import personal_finds
 
@@ -79,7 +85,7 @@ def p8_redacted(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces, p6_containers, p7_found, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces, p6_containers, p7_found, p7_reparameterised, p8_found, p8_redacted)}
 
 
 P5 = """

@@ -3,7 +3,8 @@ import re
 import time
 
 import pytest
-from dialoom.llm.leaks import ItemIndex, leaked_items, stretch, words_of
+from pyspark.sql import functions as F
+from dialoom.llm.leaks import leaked_items, prepared, reparameterised, stretch, words_of
 from dialoom.llm.packing import containers, hilbert_key, pack
 from dialoom.llm.privacy import Words, dni_letter, finds, given_names, luhn, mod97, other_date, permuted, personal_finds, pseudonym, redacted, restored
 
@@ -127,23 +128,48 @@ def test_leaks(spark):
     words = ITEM.split()
     noisy = " ".join(words[2:12] + ["very"] + words[12:17] + ["teh"] + words[18:])
     docs = [(1, f"<p>Before. {ITEM.upper()} After.</p>"), (2, " ".join(words[:12])), (3, noisy), (4, others(70)[65][1]), (5, None), (6, ""), (7, "Nobody in Fendevia could say\n> why Luminrup station kept 8494 croo-\nked looms. at 17:45 the line to Bruloloch dropped and the")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", __import__("pyspark").sql.functions.lit("clash"))
-    for block in (20_000, 7):
-        assert sorted(tuple(r) for r in leaked_items(df, items, block=block).collect()) == [(1, 900), (3, 900), (7, 900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    for most in (10**6, 0):
+        assert sorted(tuple(r) for r in leaked_items(df, items, most=most).collect()) == [(1, 900), (3, 900), (7, 900)]
     assert leaked_items(df.filter("false"), items).collect() == [] and leaked_items(df, items.filter("false")).collect() == []
 
 
-def test_index_finds_what_a_full_comparison_finds():
-    rows = [(900, ITEM), *others(40)]
-    index, rnd = ItemIndex(rows), random.Random(4)
-    for _ in range(60):
-        ws = words_of(rnd.choice(rows)[1])
+def test_same_template_with_other_values(spark):
+    items = spark.createDataFrame([(900, ITEM), *others(60)], "item_id long, text string")
+    other = others(70)[65][1]
+    twice = other.replace("8494", "77")
+    docs = spark.createDataFrame([(1, ITEM), (2, f"So: {twice}"), (3, None), (4, "too short"), (5, "An unlike sentence of more than eighteen words that says nothing of any looms or stations, and so is not listed.")], "doc_id long, text string")
+    got = reparameterised(docs, items).collect()
+    assert {r.doc_id for r in got} == {2} and all(r.n_changed > 0 for r in got)
+    assert reparameterised(docs, items.filter("false")).collect() == [] and reparameterised(docs.filter("false"), items).collect() == []
+
+
+def test_windows_find_what_a_full_comparison_finds(spark):
+    rnd = random.Random(4)
+    plain = "the a of to and in is was for on that with as by at from it an be this which or had not are but have one you were all her she there would their we him been has when who will no more if out so".split()
+    rows = [(900, ITEM), *others(40)] + [(2000 + i, " ".join(rnd.choice(plain) for _ in range(40))) for i in range(100)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    its, _ = prepared(items, "item_id", "text", 0.012)
+    known = {r.item_id: (r.ws, [k in ("<name>", "<number>") for k in r.ks]) for r in its.collect()}
+    docs, want = [], set()
+    for n in range(150):
+        ws = rnd.choice(rows)[1].split()
         a = rnd.randrange(0, 8)
-        part = ws[a : a + rnd.choice([10, 14, 19, 24])]
+        part = ws[a : a + rnd.choice([14, 19, 24])]
         for _ in range(rnd.choice([0, 1, 2])):
             part[rnd.randrange(len(part))] = "disturbed"
-        want = {i for (i, t), slots in zip(rows, index.slots) if stretch(words_of(t), ["x"] * 5 + part + ["y"] * 5, 1 / 6, slots) >= 18}
-        assert set(index.found(["x"] * 5 + part + ["y"] * 5, 18, 1 / 6)) == want
+        docs.append((n, " ".join(["xx"] * 5 + part + ["yy"] * 5)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for r in df.select("doc_id", words_of(F.col("text")).alias("ws")).collect():
+        want |= {(r.doc_id, i) for i, (ws, slots) in known.items() if stretch(ws, r.ws, 1 / 6, slots) >= 18}
+    got = {tuple(r) for r in leaked_items(df, items).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 80
+
+
+def test_words(spark):
+    texts = {"<p>Gr&uuml;&szlig;e, it&rsquo;s 9:15 &amp; 3.5</p>": ["grüße", "it", "s", "9:15", "3.5"], "> A: the **bold** ro-\r\nom\n[B] so": ["the", "bold", "room", "so"], "": [], "It’s": ["it's"]}
+    for text, want in texts.items():
+        assert spark.createDataFrame([(text,)], "t string").select(words_of(F.col("t"))).first()[0] == want
 
 
 def test_hilbert_neighbours_touch():
