@@ -102,7 +102,7 @@ AFTER_LABEL = re.compile(r"[^\n\d:#.!?]{0,20}[:#°.]?\s?(?<![\w-])((?:\d[\d./ -]
 _NUMBER_ONLY = re.compile(r"\d+\.\d+|\d{4}-\d\d.*")
 # Words of the address patterns by language, as plain text.
 _STREETS = {k: [w.replace("\\.", ".") for w in part.replace("gardens?", "gardens|garden").split("|")] for k, part in {"en": STREET_EN, "fr": STREET_FR, "de": STREET_DE, "es": STREET_ES}.items()}
-CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])(?! \d)")
+CARD = re.compile(r"(?<![\w+-])[2-6](?:[ -]?\d){12,18}(?![\w-])(?! \d)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 BIRTH = re.compile(r"(?:date of birth|born(?: on)?|d\.?o\.?b\.?|geburtsdatum|geboren(?: am)?|fecha de nacimiento|nacid[oa](?: el)?|date de naissance|née?(?: le)?)\s*:?\s*(\d{4}-\d\d-\d\d|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?!\d)", _I)
 

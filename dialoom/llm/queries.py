@@ -34,8 +34,7 @@ def p4_found(spark, d):
 def p4_document_turns(spark, d):
     from dialoom.llm.turns import text_turns
 
-    calls = read_table(spark, d, "documents").filter("source = 'call_transcript'")
-    return text_turns(calls, "doc_id", "text")
+    return text_turns(read_table(spark, d, "documents"), "doc_id", "text")
 
 
 def p5_found(spark, d):

@@ -123,19 +123,19 @@ def _windows(k: int) -> Column:
 
 
 def shortened(texts: DataFrame, least_mid: int = 3, least_rate: float = 0.02, checkpoint=checkpointed) -> DataFrame:
-    """Texts that break off. Input: text (lower-case words joined by blanks), strong (ends like a sentence), n.
-    Output: one column, text.
+    """Texts that break off. Input: text (lower-case words joined by blanks), strong (ends like a sentence), spiked (its
+    length is one at which far more texts stop than around), n. Output: one column, text.
 
     The distinct texts are sorted (by a range shuffle, so equal beginnings spread over tasks) and compared with
     their neighbours: a text that shares everything before its last word with one of them is likely a shortened
     version, as the last word may be cut. Slots like names and prices make many texts the only ones of their
-    beginning, so the endings of all texts are judged, those of shared beginnings on less evidence (one case
-    instead of `least_mid`). A text breaks off if its ending is one at which the texts of this corpus go on and
+    beginning, so the endings of all texts are judged, those of shared beginnings and those at a length limit on less
+    evidence (one case instead of `least_mid`). A text breaks off if its ending is one at which the texts of this corpus go on and
     don't end: the last three words are looked up among the endings of complete texts; where too few cases are
     known, the last two, then one. A last word unknown to the corpus counts as cut if, after the word before it,
     it begins a known one. A text seen once with a strong end is complete.
     """
-    one = texts.groupBy("text").agg(F.max("strong").alias("strong"), F.sum("n").alias("n"))
+    one = texts.groupBy("text").agg(F.max("strong").alias("strong"), F.max("spiked").alias("spiked"), F.sum("n").alias("n"))
     spread = one.repartitionByRange("text").withColumn("_b", F.spark_partition_id())
     spread = checkpoint(spread)  # the ranges come from a sample; fixed here, so that a recomputed task keeps them
     w = Window.partitionBy("_b").orderBy("text")
@@ -143,13 +143,13 @@ def shortened(texts: DataFrame, least_mid: int = 3, least_rate: float = 0.02, ch
     by_range = Window.orderBy("_b")
     edges = edges.select("_b", F.lag("_last").over(by_range).alias("_above"), F.lead("_first").over(by_range).alias("_below"))
     placed = spread.join(F.broadcast(edges), "_b").select(
-        "text", "strong", F.coalesce(F.lag("text").over(w), "_above").alias("_above"), F.coalesce(F.lead("text").over(w), "_below").alias("_below")
+        "text", "strong", "spiked", F.coalesce(F.lag("text").over(w), "_above").alias("_above"), F.coalesce(F.lead("text").over(w), "_below").alias("_below")
     )
     head = F.regexp_replace("text", r"[^ ]+$", "")
     shared = F.coalesce(F.col("_above").startswith(head), F.lit(False)) | F.coalesce(F.col("_below").startswith(head), F.lit(False))
     words = F.split("text", " ")
     grams = lambda k: F.when(F.size(words) >= k, F.array_join(F.slice(words, -k, k), " "))
-    candidates = placed.filter(~F.col("strong") & (F.col("text") != "")).select("text", shared.alias("shared"), *[grams(k).alias(f"g{k}") for k in (1, 2, 3)])
+    candidates = placed.filter(~F.col("strong") & (F.col("text") != "")).select("text", (shared | F.col("spiked")).alias("shared"), *[grams(k).alias(f"g{k}") for k in (1, 2, 3)])
     candidates = checkpoint(candidates)  # read five times below
     # Endings and continuations of every text, counted before anything is shuffled.
     t = spread.filter("text <> ''").select(words.alias("w"), "strong", "n")
@@ -211,24 +211,29 @@ def defects(events: DataFrame, checkpoint=checkpointed) -> DataFrame:
     def judge(batches):
         for pdf in batches:
             found = [row_defect(c, p) for c, p in zip(pdf["conversation_context"], pdf["prediction"])]
-            yield pd.DataFrame({"dialogue_id": pdf["dialogue_id"], "ord": pdf["ord"].astype("Int64"), "defect": [x[0] for x in found], "text": [x[1] for x in found], "strong": pdf["strong"]})
+            yield pd.DataFrame({"dialogue_id": pdf["dialogue_id"], "ord": pdf["ord"].astype("Int64"), "defect": [x[0] for x in found], "text": [x[1] for x in found], "strong": pdf["strong"], "n_chars": pdf["n_chars"]})
 
-    once = events_once(events).withColumn("strong", F.coalesce(strong_end(F.col("prediction")), F.lit(False)))
-    rowwise = checkpoint(once.mapInPandas(judge, "dialogue_id string, ord int, defect string, text string, strong boolean"))
+    once = events_once(events).withColumns({"strong": F.coalesce(strong_end(F.col("prediction")), F.lit(False)), "n_chars": F.coalesce(F.length(F.rtrim("prediction")), F.lit(0))})
+    rowwise = checkpoint(once.mapInPandas(judge, "dialogue_id string, ord int, defect string, text string, strong boolean, n_chars int"))
+    limits = F.broadcast(spikes(rowwise.filter("not strong and n_chars > 0").select("text", "n_chars")).select("n_chars", F.lit(True).alias("spiked")))  # a row for a length
     sound = rowwise.filter("defect is null and text <> ''")
-    cut = shortened(sound.groupBy("text", "strong").agg(F.count(F.lit(1)).alias("n")), checkpoint=checkpoint)
+    lengths = sound.groupBy("text", "strong", "n_chars").agg(F.count(F.lit(1)).alias("n")).join(limits, "n_chars", "left")
+    cut = shortened(lengths.select("text", "strong", F.coalesce("spiked", F.lit(False)).alias("spiked"), "n"), checkpoint=checkpoint)
     truncated = sound.filter("not strong").join(cut, "text", "left_semi").select("dialogue_id", "ord", F.lit("truncated").alias("defect"))
     return rowwise.filter("defect is not null").select("dialogue_id", "ord", "defect").unionByName(truncated)
 
 
-def length_spikes(events: DataFrame, window: int = 8, times: float = 4.0, least: int = 20) -> DataFrame:
-    """Lengths at which far more predictions without an end stop than at the lengths around: n_chars, n, usual.
-
-    A spike shows a length limit; the texts there are the first to look at. A row for each length, so the
-    window runs over few rows.
-    """
-    open_ended = events_once(events).filter("prediction is not null").filter(~strong_end(F.col("prediction")))
-    counts = open_ended.groupBy(F.length(F.rtrim("prediction")).alias("n_chars")).agg(F.count(F.lit(1)).alias("n"))
+def spikes(open_ended: DataFrame, window: int = 8, times: float = 4.0, least: int = 20) -> DataFrame:
+    """Lengths at which far more different texts stop than at each of the lengths around, on average: n_chars, n, usual. A
+    spike shows a length limit. Input: text, n_chars. A row for each length, so the window runs over few rows."""
+    counts = open_ended.distinct().groupBy("n_chars").agg(F.count(F.lit(1)).alias("n"))
     around = Window.orderBy("n_chars").rangeBetween(-window, window)
-    usual = F.percentile_approx("n", 0.5).over(around)
+    usual = (F.sum("n").over(around) - F.col("n")) / F.lit(2 * window)
     return counts.withColumn("usual", usual).filter((F.col("n") >= least) & (F.col("n") >= times * F.col("usual")))
+
+
+def length_spikes(events: DataFrame, window: int = 8, times: float = 4.0, least: int = 20) -> DataFrame:
+    """Length limits of the predictions: lengths of texts without an end that are spikes. The same lengths count as
+    evidence in `defects`."""
+    open_ended = events_once(events).filter("prediction is not null").filter(~strong_end(F.col("prediction")))
+    return spikes(open_ended.select(F.col("prediction").alias("text"), F.length(F.rtrim("prediction")).alias("n_chars")), window, times, least)

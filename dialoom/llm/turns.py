@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ NOTES = r"[♩♪♫♬]+"
 MARK = r"^(?:>{1,3}|-{1,2}(?=\p{L}|$)|#+(?=\p{L}|$))|^(?i:(?:speaker|spk|sprecher|hablante|turn)[ _.-]?(?:[ab]|\d+)?\s*:|[ab]\s*:|(?:speaker|spk)[ _.-]?[ab]$)"
 
 
+# A row of this form is a word as it stands: none of the patterns above can occur in it.
+PLAIN = r"^(?!(?i:speaker|spk|sprecher|hablante|turn))[\p{L}\p{N}][\p{L}\p{N}'’-]*[.,!?;…]*$"
+
+
 def said(word: Column) -> Column:
     """The word of a transcript row as written, without annotations, time stamps and marks; '' if none is left.
 
@@ -30,7 +35,20 @@ def said(word: Column) -> Column:
     for pattern in (NOTES, WHOLE, STAMP, OPENED, CLOSED, MARK):
         x = F.regexp_replace(x, pattern, "")
     x = F.regexp_replace(x, r"^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$", "")
-    return F.when(x.rlike(r"[\p{L}\p{N}]"), x).otherwise("")
+    return F.when(word.rlike(PLAIN), word).when(x.rlike(r"[\p{L}\p{N}]"), x).otherwise("")
+
+
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def german_around(rows: DataFrame, minutes: int = 2) -> DataFrame:
+    """(dialogue_id, minute) in which German is spoken: its function words are more than those of each other language in
+    the minutes up to `minutes` before and after. Counted by minute, so it doesn't depend on how rows are split."""
+    plain = F.lower(F.translate("word", ".,!?;:", ""))
+    counts = rows.groupBy("dialogue_id", F.floor(F.col("start_s") / 60).alias("minute")).agg(*[F.sum(is_in(plain, x).cast("int")).alias(x) for x in LANGUAGES])
+    around = counts.filter("de + en + es + fr > 0").withColumn("minute", F.explode(F.transform(F.sequence(F.lit(-minutes), F.lit(minutes)), lambda d: F.col("minute") + d)))
+    sums = around.groupBy("dialogue_id", "minute").agg(*[F.sum(x).alias(x) for x in LANGUAGES])
+    return sums.filter(F.col("de") > F.greatest("en", "es", "fr")).select("dialogue_id", "minute")
 
 
 def turns(
@@ -41,16 +59,15 @@ def turns(
     word: str = "word",
     start: str = "start_s",
     max_gap_ms: int = 60_000,
-    around: int = 150,
     min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Clean turns: dialogue_id, side, start_ms, turn_text.
 
     Rows are ordered by start and index inside their dialogue; a row that arrived twice has the same start and
     index and is dropped beside its twin. Rows without a known side, a start or a dialogue take no part, nor do
-    rows that hold no word. 'um' and 'er' are words in German, so the language is told from the function words
-    of the `around` rows before and after (inside its range); with no evidence they count as hesitation. An empty table gives an
-    empty result; extra columns are ignored.
+    rows that hold no word. The two halves of an annotation go, wherever they come; a row between them is kept, as both
+    sides' and late rows come between. 'um' and 'er' are words in German (german_around), else hesitation. An empty table
+    gives an empty result; extra columns are ignored.
 
     A hot dialogue is worked on in ranges of time (sequence.py), so no task gets it whole. A turn's text is made
     in one task, as it is one value.
@@ -64,13 +81,7 @@ def turns(
     ).filter("dialogue_id is not null and start_s is not null")
     ranges = find_ranges(slim, ["dialogue_id"], "start_s", min_rows)
     order = Window.partitionBy("dialogue_id", BUCKET).orderBy("start_s", "word_idx")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def near(count):  # of the rows around, as the difference of two running sums
-        ahead = F.coalesce(F.lead(count, around).over(order), F.max(count).over(whole))
-        return ahead - F.coalesce(F.lag(count, around + 1).over(order), F.lit(0))
-
-    kept = (
+    rows = (
         ranges.assign(slim)
         .filter("side is not null")
         .withColumn("_twin", F.lag("word_idx").over(order).eqNullSafe(F.col("word_idx")) & F.col("word_idx").isNotNull())
@@ -78,11 +89,14 @@ def turns(
         .withColumn("_said", said(F.col("word")))
         .filter("_said <> ''")
         .withColumn("_bare", bare(F.col("_said")))
-        .withColumns({f"_{x}": F.sum(is_in(F.col("_bare"), x).cast("int")).over(order) for x in ("de", "en", "es", "fr")})
-        .withColumns({f"_near_{x}": near(f"_{x}") for x in ("de", "en", "es", "fr")})
-        .filter(~F.col("_bare").rlike(HESITATION) & ~(F.col("_bare").rlike(HESITATION_NOT_GERMAN) & (F.col("_near_de") <= F.greatest("_near_en", "_near_es", "_near_fr"))))
-        .withColumn("_ms", F.round(F.col("start_s") * 1000).cast("long"))
+        .filter(~F.col("_bare").rlike(HESITATION))
+        .withColumns({"_ms": F.round(F.col("start_s") * 1000).cast("long"), "_doubt": F.when(F.col("_bare").rlike(HESITATION_NOT_GERMAN), F.floor(F.col("start_s") / 60))})
     )
+    german = german_around(slim.filter("side is not null")).withColumnRenamed("minute", "_doubt").withColumn("_german", F.lit(True))
+    # A key that is never met stands in for rows without doubt, so that these don't gather in one task.
+    key = F.coalesce("_doubt", -1 - F.pmod(F.xxhash64("word_idx", "_ms"), F.lit(1024)))
+    kept = rows.withColumn("_doubt_key", key).join(german.withColumnRenamed("_doubt", "_doubt_key"), ["dialogue_id", "_doubt_key"], "left").filter("_doubt is null or _german")
+    kept = kept.select("dialogue_id", BUCKET, "side", "start_s", "word_idx", "_ms", "_said")
     piece = F.array_sort(F.collect_list(F.struct("start_s", "word_idx", F.col("_said").alias("w"))))
     merge = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
     runs = collapse_runs(kept, ranges, ["start_s", "word_idx"], "side", "_ms", max_gap_ms, {"_words": (piece, merge)})
@@ -95,6 +109,7 @@ _GERMAN, _ENGLISH = frozenset(FUNCTION_WORDS["de"]), frozenset(FUNCTION_WORDS["e
 _STAMP_LINE = re.compile(r"^\s*(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3}\s*-->\s*(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{3}")
 _LEAD_STAMP = re.compile(r"^\s*[\[(<]?(?:(\d{1,2}):)?(\d{1,2}):(\d{2})(?:[.,](\d{1,3}))?[\])>]?\s*(?=\S*\s*(?:\[|\(|<|\w+\s*:|-))")
 _VOICE = re.compile(r"^\s*(?:<v\s+([^>]+)>|\[([^\]\d][^\]]{0,30})\](?=\s)|\(([AB])\)(?=\s)|(Speaker[ _]?\w+|SPK_\w+|Caller|Agent|[AB])\s*:)\s*", re.I)
+_NAMED = re.compile(r"^\s*([A-ZÀ-Þ][\w.'-]*(?: [A-ZÀ-Þ][\w.'-]*){0,2})\s*:(?!\d|//)\s*")
 _ANNOTATION = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}|<[^<>]*>|\*[^*]+\*|[♩♪♫♬]+")
 _FILLER = re.compile(r"(?<![\w'])(?:u+h+m*|u+m{2,}|h+m+|m{2,}|äh+m*|ääh|öh+m*|e+h+m*|e+r+m+)(?:\.{2,}|,)?(?![\w'])\s*", re.I)
 _FILLER_NOT_GERMAN = re.compile(_FILLER.pattern.replace("u+h+m*|", "u+h+m*|um|er|"), re.I)
@@ -107,14 +122,18 @@ def parse_lines(text: str) -> list[tuple[int, str | None, int | None, str]]:
     Layouts: SubRip and WebVTT captions; lines led by 'A:', '[A]', 'Caller:', 'Speaker A:' or '<v A>', with or
     without a time before; lines led by a dash that change the speaker each time. The automaton's states are
     'outside', 'number' (of a caption), 'cue' (inside a caption) and 'line'. A line without a speaker belongs to
-    the turn before it. 'um' and 'er' go unless the text is German.
+    the turn before it. Other names before a colon are speakers if they lead two lines. 'um' and 'er' go unless the text
+    is German.
     """
+    lines = re.split(r"\r\n|\n|\r", text)
+    named = Counter(m[1] for m in map(_NAMED.match, lines) if m)
+    people = {name for name, n in named.items() if n >= 2}  # names before a colon that come again
     state, speaker, at, out = "outside", None, None, []
     heard = text.lower().split()
     german = sum(w in _GERMAN for w in heard) > sum(w in _ENGLISH for w in heard)
     filler = _FILLER if german else _FILLER_NOT_GERMAN
     dash = 0
-    for raw in re.split(r"\r\n|\n|\r", text):
+    for raw in lines:
         line = raw.strip("﻿ \t ")
         if not line:
             state = "outside"
@@ -136,6 +155,8 @@ def parse_lines(text: str) -> list[tuple[int, str | None, int | None, str]]:
             name = next(g for g in m.groups() if g).strip()
             short = re.sub(r"^(?:speaker|spk)[ _]?", "", name, flags=re.I)
             speaker, line = _SIDES.get(short.lower(), short.upper() if len(short) == 1 else short), line[m.end() :]
+        elif (m := _NAMED.match(line)) and m[1] in people:
+            speaker, line = m[1], line[m.end() :]
         elif re.match(r"^[-–]\s+\S", line):
             speaker, dash, line = "AB"[dash % 2], dash + 1, line[1:].strip()
         clean = re.sub(r"\s+", " ", filler.sub("", _ANNOTATION.sub(" ", line))).strip()
@@ -148,15 +169,24 @@ def parse_lines(text: str) -> list[tuple[int, str | None, int | None, str]]:
     return out
 
 
+def is_transcript(text: str) -> bool:
+    """Whether a text is a transcript: two lines or more, and at least half of them, are led by a speaker or are stamps,
+    numbers and words of captions."""
+    lines = [x for x in re.split(r"\r\n|\n|\r", text) if x.strip()]
+    stamps = sum(bool(_STAMP_LINE.match(x)) for x in lines)
+    led = sum(bool(_VOICE.match(x) or _NAMED.match(x)) for x in (_LEAD_STAMP.sub("", x) for x in lines)) if not stamps else 0
+    return stamps >= 2 or stamps == 1 and len(lines) <= 4 or led >= 2 and 2 * led >= len(lines)
+
+
 def text_turns(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Turns of transcripts that are texts: key, turn_no, speaker, start_ms, turn_text. Texts are independent, so
-    nothing is shuffled. A null or empty text has no turns."""
+    """Turns of the texts that are transcripts (is_transcript): key, turn_no, speaker, start_ms, turn_text. Texts are
+    independent, so nothing is shuffled. A null or empty text has no turns, nor has one of another kind."""
 
     def parse(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [(k, *t) for k, x in zip(pdf[key], pdf[text]) if isinstance(x, str) for t in parse_lines(x)]
+            rows = [(k, *t) for k, x in zip(pdf[key], pdf[text]) if isinstance(x, str) and is_transcript(x) for t in parse_lines(x)]
             out = pd.DataFrame(rows, columns=[key, "turn_no", "speaker", "start_ms", "turn_text"])
             out["start_ms"] = out["start_ms"].astype("Int64")
             yield out

@@ -73,3 +73,14 @@ def test_a_hot_text_makes_no_misspelling_of_another_word(spark):
     rows += run_rows([text("Amber", "today"), text("Umber", "today")])
     rows += [("d", 8, 0, "", text("Umber", "todday"), 1, "", ""), ("d", 9, 5000, "", text("Umber", "today"), 1, "", "")]
     assert [tuple(r) for r in repeated_events(spark.createDataFrame(rows, E)).collect()] == [("d", 1, 0, 5000, 2)]
+
+
+def test_a_length_limit_is_evidence(spark):
+    """Twenty texts stop at 40 characters, each with a beginning of its own; elsewhere their last words go on."""
+    names = ["amber", "birch", "cedar", "dahlia", "elder", "fern", "grape", "hazel", "iris", "jade", "kale", "lilac", "maple", "nettle", "olive", "peony", "quince", "rose", "sage", "tulip", "violet", "willow"]
+    cut = [f"{n} is the house that {'so' * 9}"[:26] + " until you and" for n in names]
+    whole = ["they wait until you and your friends are here."] * 2
+    df = spark.createDataFrame([("d", i, i, "A: hello you", t, 0, "", "") for i, t in enumerate(cut + whole)], E)
+    assert [(r.n_chars, r.n) for r in length_spikes(df).collect()] == [(40, 22)]
+    assert {(r.ord, r.defect) for r in defects(df).collect()} == {(i, "truncated") for i in range(22)}
+    assert defects(df.filter("ord >= 12")).collect() == []  # ten texts of a length are no spike

@@ -1,4 +1,4 @@
-from dialoom.llm.turns import parse_lines, said, text_turns, turns
+from dialoom.llm.turns import is_transcript, parse_lines, said, text_turns, turns
 from pyspark.sql import functions as F
 
 W = "dialogue_id string, word_idx int, speaker string, word string, start_s double, end_s double, received_at string"
@@ -46,8 +46,23 @@ def test_layouts():
     plain = "[00:00:05] Caller: it is 9:15\r\nAgent: yes\nand more"
     assert [(x[1], x[3]) for x in parse_lines(plain)] == [("A", "it is 9:15"), ("B", "yes and more")]
     assert [(x[1], x[3]) for x in parse_lines("- one\n- two\n- three")] == [("A", "one"), ("B", "two"), ("A", "three")]
+    talk = "Maria: hello\nJohn Smith: yes\nNote: this is one\nMaria: um so\nJohn Smith: fine"
+    assert [(x[1], x[3]) for x in parse_lines(talk)] == [("Maria", "hello"), ("John Smith", "yes Note: this is one"), ("Maria", "so"), ("John Smith", "fine")]
+    assert is_transcript(srt) and is_transcript(vtt) and is_transcript(talk) and is_transcript("A: x\nB: y") and not is_transcript("One line.\nNote: another\nand more\nand more.")
+
+
+def test_words_between_the_halves_of_an_annotation(spark):
+    rows = [("A", "wait", 0, 1.0), ("A", "[long", 1, 1.5), ("A", "so", 2, 2.5), ("A", "music]", 3, 3.5), ("A", "(open", 5, 5.5), ("A", "again", 6, 6.5)]
+    assert [r.turn_text for r in turns(table(spark, rows)).collect()] == ["wait so again"]
+
+
+def test_language_does_not_depend_on_ranges(spark):
+    words = "ihr taxi wartet um acht vor dem haus".split() * 6 + "the um taxi er is there for you".split() * 6
+    t = table(spark, [("A", w, 3.0 * i + (400 if i >= 48 else 0), None) for i, w in enumerate(words)])
+    texts = [sorted((r.start_ms, r.turn_text) for r in turns(t, min_rows=n).collect()) for n in (10**6, 7, 2)]
+    assert texts[0] == texts[1] == texts[2] and texts[0][0][1].count("um") == 6 and " um" not in texts[0][1][1]
 
 
 def test_text_turns(spark):
-    df = spark.createDataFrame([(1, "A: x\nB: y"), (2, None), (3, "")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "A: x\nB: y"), (2, None), (3, ""), (4, "No talk.")], "doc_id long, text string")
     assert {(r.doc_id, r.turn_no, r.speaker, r.turn_text) for r in text_turns(df, "doc_id", "text").collect()} == {(1, 0, "A", "x"), (1, 1, "B", "y")}
