@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.labels import channel_map, strip, without_repeats
@@ -108,14 +110,14 @@ def text_streams(t: DataFrame, pad: int = 3, end: int = 0) -> DataFrame:
     return placed.withColumn("_w", F.array_sort(F.concat("_own", "_marks"))).select("did", "speaker", dense("_w", F.col("n"), pad).alias("ids"))
 
 
-def event_frames(raw: DataFrame, num_frames: int | DataFrame | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
+def event_frames(raw: DataFrame, num_frames: int | DataFrame | None = None, min_rows: int = MIN_ROWS, ids: Callable[[Column], Column] = text_ids) -> DataFrame:
     """Events on the frame grid: dialogue_id, channel, ord, frame_pos, ratio, skip_forbid, pred_ids, hint_ids (T11: P5, W8, P6, T10, P7-P10, T9, P8).
 
     `num_frames` is the length of speaker A's audio, which bounds both channels: one number, or a table of dialogue_id
     and num_frames (a dialogue without a row has no bound). skip_forbid marks the last entry of a run of one channel
     in the raw order, before anything is dropped. A null channel is 0, a missing or unreadable ratio 0; events without
     a time, outside the audio or without prediction and hint are dropped. Repeated rows count once. A hot dialogue is
-    worked on in ranges of `ord`.
+    worked on in ranges of `ord`. `ids` makes the ids of a text column: the built-in tokenizer's, or plugins.event_ids.
     """
     cols = ["dialogue_id", "ord", "timestamp_ms", "prediction", "hint", "current_spoken_ratio"]
     slim = raw.select(*cols, F.coalesce("channel", F.lit(0)).alias("channel"))
@@ -128,7 +130,7 @@ def event_frames(raw: DataFrame, num_frames: int | DataFrame | None = None, min_
     elif num_frames is not None:
         placed = placed.filter(F.col("frame_pos") < num_frames)
     ratio = F.coalesce(F.col("current_spoken_ratio").try_cast("float"), F.lit(0.0).cast("float")).cast("double")
-    out = placed.select("dialogue_id", "channel", "ord", "frame_pos", ratio.alias("ratio"), "skip_forbid", text_ids(strip(F.col("prediction"))).alias("pred_ids"), text_ids(strip(F.col("hint"))).alias("hint_ids"))
+    out = placed.select("dialogue_id", "channel", "ord", "frame_pos", ratio.alias("ratio"), "skip_forbid", ids(strip(F.col("prediction"))).alias("pred_ids"), ids(strip(F.col("hint"))).alias("hint_ids"))
     return out.filter((F.size("pred_ids") > 0) | (F.size("hint_ids") > 0))
 
 

@@ -25,11 +25,13 @@ def require_event_columns(df: DataFrame, speakers: list[str] | tuple[str, ...] =
     return df
 
 
-def require_ids(inputs: DataFrame, lookup: DataFrame, what: str, key: str = "dialogue_id") -> DataFrame:
-    """Inner join of each row of `inputs` with its row of `lookup`; one without it is an error naming it."""
-    found = inputs.join(lookup.withColumn("_has", F.lit(True)), key, "left")
-    lacking = F.raise_error(F.concat(F.lit(f"{what} is missing for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
-    return found.withColumn("_has", F.when(F.col("_has"), True).otherwise(lacking)).filter("_has").drop("_has")
+def require_ids(inputs: DataFrame, lookup: DataFrame, what: str, key: str = "dialogue_id", named: int = 8) -> DataFrame:
+    """Inner join of each row of `inputs` with its row of `lookup`; ids without one are an error naming some of them.
+    The ids are compared first, as an error within the join could be optimised away with the rows it is about."""
+    rows = inputs.select(key).distinct().join(lookup.select(key), key, "left_anti").orderBy(key).limit(named).collect()
+    if rows:
+        raise ValueError(f"{what} is missing for {', '.join(str(r[0]) for r in rows)}")
+    return inputs.join(lookup, key)
 
 
 def require_same_ids(text: DataFrame, audio: DataFrame, events: DataFrame | None = None, key: str = "dialogue_id", named: int = 8) -> None:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.functions.labels import strip
+from dialoom.functions.labels import channel_map, strip
 from dialoom.operators.sequence import BUCKET, MIN_ROWS, Ranges, find_ranges, following, running
 from dialoom.operators.transcripts import run_columns
 from dialoom.session import checkpointed
@@ -113,19 +113,21 @@ def _until_stop(states: DataFrame, by_time: Ranges) -> DataFrame:
     return x.filter("_stop is null").drop("_stop")
 
 
-def build(t: DataFrame, every: float = 5.0, recent: int = 5, hint: bool = True, texts: bool = True, context: bool = True, stop: bool = False, channel: int | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
+def build(t: DataFrame, every: float = 5.0, recent: int = 5, hint: bool = True, texts: bool = True, context: bool = True, stop: bool = False, channel: int | None = None, channels: dict[str, int] | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
     """The ticks of a transcript with at least two words so far: did, k, n_so_far, trigger_word, speaker (of the last word
     so far in list order), ratio, channel (of the side that speaks next) and, as asked for, hint, recent_words, context.
 
     Ticks stand at every, 2 * every, ... before the last end; `every` must be such that its multiples are exact, as 0.5
-    or 5. `channel` keeps one channel, and then `stop` drops every tick of a unit from its first one without a hint on.
+    or 5. `channels` gives the speakers' channels (A 0, B 1). `channel` keeps one channel, and then `stop` drops every tick
+    of a unit from its first one without a hint on.
     """
     if not (every > 0 and float(every * 2**20).is_integer()):
         raise ValueError(f"multiples of {every} s are not exact")
     words, ranges = _words(t, every)
     words = checkpointed(words)  # read for the states, the late words, the runs, the texts
     states, by_time = _states(words, ranges, every, min_rows)
-    x = states.withColumn("channel", F.when(F.col("lw.speaker") == "A", 1).otherwise(0))
+    numbers = channel_map(channels or {"A": 0, "B": 1})
+    x = states.withColumn("channel", F.when(F.col("lw.speaker") == "A", numbers["B"]).otherwise(numbers["A"]))
     if channel is not None:
         x = x.filter(F.col("channel") == channel)
     x = _with_late(x, words)

@@ -66,7 +66,7 @@ def write_events(events: DataFrame, folder: str) -> int:
     """A JSON array per dialogue under folder/dialogue_id=..., all or nothing by Spark's committer; gives the number of
     events written (K1)."""
     total = Observation("events")
-    event_json(events).observe(total, F.sum("n").alias("events")).select("dialogue_id", "value").write.partitionBy("dialogue_id").text(folder)
+    event_json(events).observe(total, F.sum("n").alias("events")).select("dialogue_id", "value").write.mode("append").partitionBy("dialogue_id").text(folder)
     return total.get["events"] or 0
 
 
