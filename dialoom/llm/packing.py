@@ -68,18 +68,20 @@ def projected(ids: list[int]) -> list[int]:
     weight = np.sqrt(counts)
     out = []
     for d in range(DIMENSIONS):
-        h = (tokens + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(b"axis %d" % d)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
+        with np.errstate(over="ignore"):  # the products are meant to wrap
+            h = (tokens + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(b"axis %d" % d)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
         sign = (h >> np.uint64(63)).astype(np.int64) * 2 - 1
         z = float((sign * weight).sum() / np.sqrt((weight**2).sum()))
         out.append(min(side - 1, int((np.tanh(z / 2) + 1) / 2 * side)))
     return out
 
 
-def pack(sizes: list[int], capacity: int, open_at_once: int = 512) -> list[int]:
+def pack(sizes: list[int], capacity: int, open_at_once: int = 16) -> list[int]:
     """Container numbers for sizes in the order given: each goes to the fullest open container that it fits; if
-    none, a new one is opened, and beyond `open_at_once` the fullest is closed."""
+    none, a new one is opened, and beyond `open_at_once` the fullest is closed. Few open ones keep neighbours in the order
+    together, more of them leave less space unused (README has figures)."""
     import bisect
 
     room: list[tuple[int, int]] = []  # (free space, container), ascending
@@ -98,8 +100,9 @@ def pack(sizes: list[int], capacity: int, open_at_once: int = 512) -> list[int]:
     return out
 
 
-def containers(documents: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, rows_per_range: int = 20_000, checkpoint=checkpointed) -> DataFrame:
-    """(container, doc_id, piece, token_from, token_to): every document in containers of `capacity` tokens.
+def containers(documents: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, rows_per_range: int = 20_000, open_at_once: int = 16, checkpoint=checkpointed) -> DataFrame:
+    """(container, doc_id, piece, token_from, token_to, place): every document in containers of `capacity` tokens; `place`
+    is the text's number along the curve in its range, null in a container that one text fills.
 
     A text larger than a container is cut into full containers and a rest, the only texts that are divided. Texts
     are ordered along a Hilbert curve over their projected token vectors, by a range shuffle on (curve key, doc
@@ -129,7 +132,7 @@ def containers(documents: DataFrame, doc: str = "doc_id", text: str = "text", ca
     ranges = max(1, -(-sized.count() // rows_per_range))
     whole = F.col("token_to") - F.col("token_from") == capacity
     # A full container needs no packing.
-    full = sized.filter(whole).select(doc, "piece", "token_from", "token_to", F.concat_ws("-", F.lit("f"), doc, "piece").alias("container"))
+    full = sized.filter(whole).select(doc, "piece", "token_from", "token_to", F.concat_ws("-", F.lit("f"), doc, "piece").alias("container"), F.lit(None).cast("int").alias("place"))
     rest = sized.filter(~whole).repartitionByRange(ranges, "_key", doc, "piece").sortWithinPartitions("_key", doc, "piece")
 
     def fill(batches):
@@ -140,8 +143,17 @@ def containers(documents: DataFrame, doc: str = "doc_id", text: str = "text", ca
         parts = list(batches)  # ids and numbers of at most about `rows_per_range` texts
         if parts:
             pdf = pd.concat(parts)
-            at = pack((pdf["token_to"] - pdf["token_from"]).tolist(), capacity)
-            yield pdf.drop(columns="_key").assign(container=[f"{number}-{c}" for c in at])
+            at = pack((pdf["token_to"] - pdf["token_from"]).tolist(), capacity, open_at_once)
+            yield pdf.drop(columns="_key").assign(container=[f"{number}-{c}" for c in at], place=range(len(at)))
 
-    packed = rest.mapInPandas(fill, f"{doc} {kind}, piece int, token_from int, token_to int, container string")
-    return packed.select("container", doc, "piece", "token_from", "token_to").unionByName(full)
+    packed = rest.mapInPandas(fill, f"{doc} {kind}, piece int, token_from int, token_to int, container string, place int")
+    return packed.select("container", doc, "piece", "token_from", "token_to", "place").unionByName(full)
+
+
+def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: n_containers, fill (share of their space that is used) and neighbour_distance, how many places along the
+    curve lie between a text and the next one in its container, on average."""
+    used = F.col("token_to") - F.col("token_from")
+    apart = (F.max("place") - F.min("place")).alias("apart")
+    each = packed.groupBy("container").agg(F.sum(used).alias("n"), apart, F.count(F.lit(1)).alias("k"))
+    return each.agg(F.count(F.lit(1)).alias("n_containers"), (F.sum("n") / (F.count(F.lit(1)) * capacity)).alias("fill"), (F.sum("apart") / F.sum(F.col("k") - 1)).alias("neighbour_distance"))

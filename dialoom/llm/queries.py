@@ -55,6 +55,12 @@ def p6_containers(spark, d):
     return containers(read_table(spark, d, "documents"))
 
 
+def p6_report(spark, d):
+    from dialoom.llm.packing import containers, packing_report
+
+    return packing_report(containers(read_table(spark, d, "documents")))
+
+
 def p7_found(spark, d):
     from dialoom.llm.leaks import leaked_items
 
@@ -84,7 +90,7 @@ def p8_redacted(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces, p6_containers, p7_found, p7_reparameterised, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_length_spikes, p3_found, p4_found, p4_document_turns, p5_found, p5_pieces, p6_containers, p6_report, p7_found, p7_reparameterised, p8_found, p8_redacted)}
 
 
 P5 = """

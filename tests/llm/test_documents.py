@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 from dialoom.llm.leaks import leaked_items, prepared, reparameterised, stretch, words_of
-from dialoom.llm.packing import containers, hilbert_key, pack
+from dialoom.llm.packing import containers, hilbert_key, pack, packing_report
 from dialoom.llm.privacy import Words, dni_letter, finds, given_names, luhn, mod97, other_date, permuted, personal_finds, pseudonym, redacted, restored
 
 
@@ -186,11 +186,14 @@ def test_pack():
     for c, n in zip(at, sizes):
         load[c] = load.get(c, 0) + n
     assert max(load.values()) <= 2048 and len(load) <= 1.06 * sum(sizes) / 2048
+    assert pack([2048, 0, 5], 2048) == [0, 1, 1] and pack([], 2048) == []
 
 
 def test_containers(spark):
     rows = [(i, "word " * (i * 7 % 900)) for i in range(200)] + [(1000 + i, "the same text again and again") for i in range(100)] + [(5000, "long text " * 4000), (5001, None), (5002, "")]
     out = containers(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_range=80).toPandas()
+    report = packing_report(spark.createDataFrame(out)).first()
+    assert report.n_containers == out.container.nunique() and 0.8 < report.fill <= 1 and report.neighbour_distance < 10
     out["n"] = out.token_to - out.token_from
     assert out.groupby("container").n.sum().max() <= 2048
     assert set(out.doc_id) == {r[0] for r in rows if r[1] is not None}
