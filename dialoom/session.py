@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "dialoom", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,3 +64,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if int(str(plan.stats().sizeInBytes())) >= 4 * cores * split:
         return df
     return df.repartition(2 * cores, *keys)
+
+
+def sized_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table to be sent with the tasks if it has at most `most` rows (counted), else as it is, to be joined by shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
