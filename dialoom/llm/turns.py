@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dialoom.functions.labels import side_of
 from dialoom.llm.text import FUNCTION_WORDS, HESITATION, HESITATION_NOT_GERMAN, bare, is_in
 from dialoom.operators.sequence import BUCKET, MIN_ROWS, collapse_runs, find_ranges
+from dialoom.session import sized_broadcast
 
 # The marks that a transcript row may hold besides a word, as the states of a small automaton:
 # whole annotations, full time stamps, the two halves of an annotation over two rows, marks of speaker or turn.
@@ -60,6 +61,7 @@ def turns(
     start: str = "start_s",
     max_gap_ms: int = 60_000,
     min_rows: int = MIN_ROWS,
+    most: int = 1_000_000,
 ) -> DataFrame:
     """Clean turns: dialogue_id, side, start_ms, turn_text.
 
@@ -93,9 +95,11 @@ def turns(
         .withColumns({"_ms": F.round(F.col("start_s") * 1000).cast("long"), "_doubt": F.when(F.col("_bare").rlike(HESITATION_NOT_GERMAN), F.floor(F.col("start_s") / 60))})
     )
     german = german_around(slim.filter("side is not null")).withColumnRenamed("minute", "_doubt").withColumn("_german", F.lit(True))
-    # A key that is never met stands in for rows without doubt, so that these don't gather in one task.
+    # Few minutes (counted) are sent with the tasks, and the rows stay where they are; else they are joined by a shuffle, in
+    # which a key that is never met stands in for rows without doubt, so that these don't gather in one task.
     key = F.coalesce("_doubt", -1 - F.pmod(F.xxhash64("word_idx", "_ms"), F.lit(1024)))
-    kept = rows.withColumn("_doubt_key", key).join(german.withColumnRenamed("_doubt", "_doubt_key"), ["dialogue_id", "_doubt_key"], "left").filter("_doubt is null or _german")
+    german = sized_broadcast(german.withColumnRenamed("_doubt", "_doubt_key"), most)
+    kept = rows.withColumn("_doubt_key", key).join(german, ["dialogue_id", "_doubt_key"], "left").filter("_doubt is null or _german")
     kept = kept.select("dialogue_id", BUCKET, "side", "start_s", "word_idx", "_ms", "_said")
     piece = F.array_sort(F.collect_list(F.struct("start_s", "word_idx", F.col("_said").alias("w"))))
     merge = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
