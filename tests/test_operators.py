@@ -259,17 +259,17 @@ def test_embedding_covariance_of_all_pairs(spark):
 
 
 def test_each_token_takes_a_slot(spark):
-    def model(frames, n, ids):  # as tokenize_text.py does it
-        out = [3] * n
+    def model(frames, n, ids):
+        """The first free slot from the frame on; the slot before it, if free, gets the mark."""
+        taken = {}
         for f, token in zip(frames, ids):
-            while f < n and out[f] != 3:
-                f += 1
-            if f >= n:
+            p = next((s for s in range(f, n) if s not in taken), None)
+            if p is None:
                 break
-            out[f] = token
-            if f > 0 and out[f - 1] == 3:
-                out[f - 1] = 0
-        return out
+            taken[p] = token
+            if p:
+                taken.setdefault(p - 1, 0)
+        return [taken.get(s, 3) for s in range(n)]
 
     assert align.place_fold([5, 4], [11, 12], 8) == model([5, 4], 8, [11, 12]) == [3, 3, 3, 3, 0, 11, 12, 3]
     rnd = random.Random(4)
