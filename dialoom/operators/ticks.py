@@ -202,9 +202,11 @@ GUIDANCE = [
 
 
 def percent(ratio: Column, digits: int) -> Column:
-    """A share in percent, halves of the exact binary value rounded to even."""
-    exact = F.bround(ratio.cast("decimal(38,30)") * 100, digits).cast(f"decimal(10,{digits})")
-    return F.concat(exact.cast("string"), F.lit("%"))
+    """A share in percent: a hundred times the double, halves rounded to even (of its shortest decimal, beyond whole ones)."""
+    times = ratio * 100
+    whole = F.rint(times).cast("long").cast("string")
+    exact = whole if digits == 0 else F.bround(times.cast("decimal(20,15)"), digits).cast(f"decimal(10,{digits})").cast("string")
+    return F.concat(exact, F.lit("%"))
 
 
 def prompt(request: Column) -> Column:
