@@ -156,7 +156,7 @@ def request(every: float = 5.0) -> Column:
     """What a predictor is told of a tick, as a struct; the hint is the true next utterance, to be used as the prompt says."""
     other = F.when(F.col("speaker") == "A", "B").otherwise("A")
     return F.struct(
-        (F.col("k") * F.lit(every) * 1000).cast("int").alias("timestamp_ms"), F.col("context").alias("conversation_context"), F.col("n_so_far").alias("total_word_count"), "trigger_word", "recent_words",
+        (F.col("k") * F.lit(every) * 1000).cast("long").alias("timestamp_ms"), F.col("context").alias("conversation_context"), F.col("n_so_far").alias("total_word_count"), "trigger_word", "recent_words",
         F.col("ratio").alias("current_spoken_ratio"), F.col("hint").alias("next_utterance_hint"), F.col("speaker").alias("current_speaker"), other.alias("next_speaker"), F.col("channel").alias("target_channel"),
     )
 

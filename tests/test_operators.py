@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from dialoom import catalogue
 from dialoom.operators import align, batch, frames, ticks, transcripts
 from dialoom.operators.sequence import find_ranges
 from dialoom.sources import files
@@ -39,6 +40,21 @@ def test_events_of_a_short_talk(spark):
         ticks.ticks(t, every=0.1)
 
 
+FAR = 2_200_000  # seconds, over 25 days: their milliseconds are beyond 32 bits
+
+
+@pytest.mark.parametrize("name", ["oracle_events"])
+def test_events_of_a_line_of_many_days(spark, tmp_path, name):
+    rows = [("A" if i // 6 % 2 else "B", f"w{i}", 0.75 * i, 0.75 * i + 0.5) for i in range(60)]
+    got = []
+    for late in (0, FAR):
+        df = spark.createDataFrame([("line", i, sp, w, a + late, b + late) for i, (sp, w, a, b) in enumerate(rows)], "dialogue_id string, word_idx int, speaker string, word string, start_s double, end_s double")
+        df.write.parquet(f"{tmp_path}/{late}/words.parquet")
+        got.append(sorted(tuple(r.asDict().items()) for r in catalogue.QUERIES[name](spark, f"{tmp_path}/{late}").collect()))
+    early, late = got
+    assert early and late == [tuple((c, v + FAR * 1000 if c == "timestamp_ms" else v) for c, v in r) for r in early]
+
+
 def test_tie_of_ends_goes_to_the_last_in_list_order(spark):
     t = talk(spark, [("A", "well", 0.0, 1.0), ("B", "no", 0.5, 1.0), ("B", "way", 1.0, 1.75)])
     r = ticks.ticks(t, every=1.0).filter("k = 1").first()
