@@ -43,7 +43,7 @@ def test_events_of_a_short_talk(spark):
 FAR = 2_200_000  # seconds, over 25 days: their milliseconds are beyond 32 bits
 
 
-@pytest.mark.parametrize("name", ["oracle_events", "target_channel_events"])
+@pytest.mark.parametrize("name", ["oracle_events", "target_channel_events", "oracle_events_by_call"])
 def test_events_of_a_line_of_many_days(spark, tmp_path, name):
     rows = [("A" if i // 6 % 2 else "B", f"w{i}", 0.75 * i, 0.75 * i + 0.5) for i in range(60)]
     got = []
