@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dialoom.operators.sequence import numbered
 
 WORDS = "array<struct<speaker:string,word:string,start:double,end:double>>"
-EVENTS = "array<struct<timestamp_ms:int,conversation_context:string,prediction:string,total_word_count:int,trigger_word:string,recent_words:string,current_spoken_ratio:double,channel:int,hint:string>>"
+EVENTS = "array<struct<timestamp_ms:bigint,conversation_context:string,prediction:string,total_word_count:int,trigger_word:string,recent_words:string,current_spoken_ratio:double,channel:int,hint:string>>"
 
 
 def _arrays(spark: SparkSession, folder: str, schema: str, glob: str, number: str) -> DataFrame:

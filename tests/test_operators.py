@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -248,6 +249,18 @@ def test_files(spark, tmp_path):
     assert [(r.dialogue_id, r.ord, r.prediction) for r in files.read_events(spark, str(tmp_path / "curated")).orderBy("ord").collect()] == [("d", 0, "a"), ("d", 1, "ü")]
 
 
+def test_event_files_of_a_line_of_many_days(spark, tmp_path):
+    rows = [("A" if i // 6 % 2 else "B", f"w{i}", 0.75 * i + FAR, 0.75 * i + 0.5 + FAR) for i in range(60)]
+    df = spark.createDataFrame([("line", i, *r) for i, r in enumerate(rows)], "dialogue_id string, word_idx int, speaker string, word string, start_s double, end_s double")
+    df.write.parquet(f"{tmp_path}/words.parquet")
+    events = sorted((r.timestamp_ms, r.prediction, r.channel, r.hint) for r in catalogue.QUERIES["oracle_events_by_call"](spark, str(tmp_path)).collect())
+    text = "\n".join("|".join(str(v) for v in e) for e in events)
+    got = catalogue.QUERIES["event_json"](spark, str(tmp_path)).collect()
+    assert [(r.n, r.n_read, r.events_md5) for r in got] == [(len(events), len(events), hashlib.md5(text.encode()).hexdigest())] and events[0][0] > FAR * 1000
+    (tmp_path / f"line{files.SUFFIX}").write_text(f'[{{"timestamp_ms":{events[0][0]},"prediction":"a"}}]')
+    assert [r.timestamp_ms for r in files.read_events(spark, str(tmp_path)).collect()] == [events[0][0]]
+
+
 def test_calls_split_a_long_line(spark):
     rows = [("line", i, "A" if i % 3 else "B", f"w{i}", 10.0 * i + (100.0 if i >= 30 else 0.0), 10.0 * i + 101.0) for i in range(60)]
     df = spark.createDataFrame(rows, "dialogue_id string, word_idx int, speaker string, word string, start_s double, end_s double")
