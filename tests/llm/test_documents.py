@@ -134,6 +134,16 @@ def test_leaks(spark):
     assert leaked_items(df.filter("false"), items).collect() == [] and leaked_items(df, items.filter("false")).collect() == []
 
 
+def test_items_that_share_a_passage_are_all_found(spark):
+    shared = "please note that the front desk will be closed for the whole of the night and that guests who come late must ring the bell by the door".split()
+    items = spark.createDataFrame([(i, " ".join([*shared, f"tail{i}", f"end{i}"])) for i in range(40)] + others(60), "item_id long, text string")
+    part = shared[2:22]
+    part[6], part[13] = "disturbed", "altered"  # runs of six words: no window of ten is left
+    df = spark.createDataFrame([(1, " ".join(part)), (2, " ".join(shared[:12]))], "doc_id long, text string")
+    for most in (10**6, 0):
+        assert sorted(tuple(r) for r in leaked_items(df, items, most=most).collect()) == [(1, i) for i in range(40)]
+
+
 def test_same_template_with_other_values(spark):
     items = spark.createDataFrame([(900, ITEM), *others(60)], "item_id long, text string")
     other = others(70)[65][1]
