@@ -171,43 +171,49 @@ def stretches(df: DataFrame, ranges: Ranges, order: list[str], at: str, max_gap,
     return local.join(F.broadcast(offsets), [*keys, BUCKET], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", "_break")
 
 
-def following(df: DataFrame, ranges: Ranges, order: list[str], value: str, name: str, back: bool = False) -> DataFrame:
-    """Adds `value` of the key's next row (of the one before if `back`), null where there is none. A row at the edge of
-    its range takes it from the nearest range that has rows: one row a range of a hot key."""
-    keys = ranges.keys
-    w, step = Window.partitionBy(*keys, BUCKET).orderBy(*order), F.lag if back else F.lead
-    if not ranges.split:
-        return df.withColumn(name, step(value).over(w))
-    hot = df.join(F.broadcast(ranges.cuts.select(*keys)), keys, "left_semi")
-    nearest = (F.max_by if back else F.min_by)(value, F.struct(*order))
-    edges = hot.groupBy(*keys, BUCKET).agg(nearest.alias("_edge"))
-    beyond = edges.select(*keys, BUCKET, step("_edge").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_beyond"))
-    local = df.withColumns({name: step(value).over(w), "_at_edge": step(F.lit(1)).over(w).isNull()})
-    return local.join(F.broadcast(beyond), [*keys, BUCKET], "left").withColumn(name, F.when(F.col("_at_edge"), F.col("_beyond")).otherwise(F.col(name))).drop("_beyond", "_at_edge")
-
-
-def running(df: DataFrame, ranges: Ranges, order: list[str], outputs: dict[str, tuple[str, Column]], ahead: bool = False) -> DataFrame:
-    """Adds running aggregates of a key's rows up to and with each row, or of all rows after it (`ahead`).
-
-    `outputs` maps a name to ('sum', 'min' or 'max', column); a sum over no rows is 0. Each range is summed by itself,
-    and what the ranges before (after) it hold is added from one row a range.
+def across(df: DataFrame, ranges: Ranges, order: list[str], sums: dict | None = None, ahead: dict | None = None, after: dict | None = None, before: dict | None = None) -> DataFrame:
+    """Adds what a row takes from the others of its key, over all ranges: `sums`, running aggregates up to and with each
+    row; `ahead`, aggregates of all rows after it; `after` and `before`, values of the next row and of the one before it,
+    null where there is none.
+
+    Aggregates map a name to ('sum', 'min' or 'max', column), a sum over no rows being 0; neighbours map it to a column.
+    Each range works by itself, and what it takes from the others is added from one row a range of a hot key. All of them
+    come from one such summary, as each summary works out `df` once more: what can be asked for at once should be.
     """
     keys = ranges.keys
     of = {"sum": F.sum, "min": F.min, "max": F.max}
+    both = {"min": F.least, "max": F.greatest, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
+    sums, ahead, after, before = (x or {} for x in (sums, ahead, after, before))
+    aggregates, neighbours = sums | ahead, after | before
+    up = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     # Looking ahead, rows are taken backwards: a frame that grows is summed as it grows, one that shrinks anew for each row.
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*[F.desc(c) if ahead else c for c in order]).rowsBetween(Window.unboundedPreceding, -1 if ahead else 0)
-    df = df.withColumns({f"_v_{n}": c for n, (_, c) in outputs.items()})
-    local = df.withColumns({n: of[f](f"_v_{n}").over(w) for n, (f, _) in outputs.items()})
-    inputs = [f"_v_{n}" for n in outputs]
+    down = Window.partitionBy(*keys, BUCKET).orderBy(*[F.desc(c) for c in order])
+    frames = dict.fromkeys(sums, up.rowsBetween(Window.unboundedPreceding, 0)) | dict.fromkeys(ahead, down.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumns({f"_v_{n}": c for n, (_, c) in aggregates.items()})
+    steps = dict.fromkeys(after, F.lead) | dict.fromkeys(before, F.lag)
+    local = df.withColumns({n: of[f](f"_v_{n}").over(frames[n]) for n, (f, _) in aggregates.items()} | {n: steps[n](c).over(up) for n, c in neighbours.items()} | {f"_edge_{n}": steps[n](F.lit(1)).over(up).isNull() for n in neighbours if ranges.split})
+    extra = [f"_v_{n}" for n in aggregates]
     if ranges.split:
         hot = df.join(F.broadcast(ranges.cuts.select(*keys)), keys, "left_semi")
-        sums = hot.groupBy(*keys, BUCKET).agg(*[of[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in outputs.items()])
-        by_range = Window.partitionBy(*keys).orderBy(F.desc(BUCKET) if ahead else BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        others = sums.select(*keys, BUCKET, *[of[f](f"_v_{n}").over(by_range).alias(f"_o_{n}") for n, (f, _) in outputs.items()])
-        both = {"min": F.least, "max": F.greatest, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
-        local = local.join(F.broadcast(others), [*keys, BUCKET], "left").withColumns({n: both[f](F.col(n), F.col(f"_o_{n}")) for n, (f, _) in outputs.items()})
-        inputs += [f"_o_{n}" for n in outputs]
-    return local.withColumns({n: F.coalesce(n, F.lit(0)) for n, (f, _) in outputs.items() if f == "sum"}).drop(*inputs)
+        ends = {n: (F.min_by if n in after else F.max_by)(c, F.struct(*order)) for n, c in neighbours.items()}
+        each = hot.groupBy(*keys, BUCKET).agg(*[of[f](f"_v_{n}").alias(f"_v_{n}") for n, (f, _) in aggregates.items()], *[c.alias(f"_v_{n}") for n, c in ends.items()])
+        by_range = Window.partitionBy(*keys).orderBy(BUCKET)
+        earlier, later = by_range.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+        others = {n: of[f](f"_v_{n}").over(later if n in ahead else earlier) for n, (f, _) in aggregates.items()} | {n: steps[n](f"_v_{n}").over(by_range) for n in neighbours}
+        local = local.join(F.broadcast(each.select(*keys, BUCKET, *[c.alias(f"_o_{n}") for n, c in others.items()])), [*keys, BUCKET], "left")
+        local = local.withColumns({n: both[f](F.col(n), F.col(f"_o_{n}")) for n, (f, _) in aggregates.items()} | {n: F.when(F.col(f"_edge_{n}"), F.col(f"_o_{n}")).otherwise(F.col(n)) for n in neighbours})
+        extra += [f"_o_{n}" for n in others] + [f"_edge_{n}" for n in neighbours]
+    return local.withColumns({n: F.coalesce(n, F.lit(0)) for n, (f, _) in aggregates.items() if f == "sum"}).drop(*extra)
+
+
+def following(df: DataFrame, ranges: Ranges, order: list[str], value: str, name: str, back: bool = False) -> DataFrame:
+    """Adds `value` of the key's next row (of the one before if `back`), null where there is none (see across)."""
+    return across(df, ranges, order, **{"before" if back else "after": {name: value}})
+
+
+def running(df: DataFrame, ranges: Ranges, order: list[str], outputs: dict[str, tuple[str, Column]], ahead: bool = False) -> DataFrame:
+    """Adds running aggregates of a key's rows up to and with each row, or of all rows after it (`ahead`; see across)."""
+    return across(df, ranges, order, **{"ahead" if ahead else "sums": outputs})
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.functions.labels import channel_map, strip
-from dialoom.operators.sequence import BUCKET, MIN_ROWS, Ranges, find_ranges, following, running
-from dialoom.operators.transcripts import run_columns
+from dialoom.operators.sequence import BUCKET, MIN_ROWS, Ranges, across, find_ranges, running
+from dialoom.operators.transcripts import in_ranges, run_columns
 from dialoom.session import checkpointed
 
 
@@ -25,13 +25,21 @@ def arrival(end: Column, every: float) -> Column:
     return F.greatest(exact, F.lit(1)).cast("int")
 
 
-def _words(t: DataFrame, every: float) -> tuple[DataFrame, Ranges]:
-    """Words with their arrival and what they add to the unit's text: `piece` (a new line and the speaker's name where a
-    run begins), `upto` (characters up to and with it), `earliest` (first arrival of a word listed later)."""
+def _piece() -> Column:
+    """What a word adds to its unit's text: a new line and the speaker's name where a run begins."""
     lead = F.concat(F.when(F.col("idx") == 0, "").otherwise("\n"), "speaker", F.lit(": "), "word")
-    piece = F.when(F.col("starts"), lead).otherwise(F.concat(F.lit(" "), "word"))
-    x, ranges = run_columns(t, piece=piece, arrives=arrival(F.col("end"), every))
-    return x.drop(BUCKET), ranges
+    return F.when(F.col("starts"), lead).otherwise(F.concat(F.lit(" "), "word"))
+
+
+def _words(t: DataFrame, every: float) -> tuple[DataFrame, Ranges]:
+    """Words with their arrival, `upto` (characters of the unit's text up to and with it) and `earliest` (first arrival of
+    a word listed later). Words of a unit in ranges are kept (checkpoint) first, as each pass over ranges reads them twice."""
+    ranges = in_ranges(t)[1]
+    t = t.drop("start")
+    t = checkpointed(t) if ranges.split else t
+    t._ranges = ranges
+    x, _ = run_columns(t, piece=_piece(), arrives=arrival(F.col("end"), every))
+    return x.drop(BUCKET, "piece", "run_from"), ranges
 
 
 def _states(words: DataFrame, ranges: Ranges, every: float, min_rows: int) -> tuple[DataFrame, Ranges]:
@@ -42,8 +50,7 @@ def _states(words: DataFrame, ranges: Ranges, every: float, min_rows: int) -> tu
     arrivals = words.groupBy("did", "ka").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("speaker") == s, lw)).alias(s) for s in "AB"])
     by_time = find_ranges(words, ["did"], "ka", min_rows) if ranges.split else Ranges(["did"], "ka")
     x = by_time.assign(arrivals, "ka")
-    x = running(x, by_time, ["ka"], {"n_so_far": ("sum", F.col("n")), "_A": ("max", F.col("A")), "_B": ("max", F.col("B"))})
-    x = following(x, by_time, ["ka"], "ka", "until")
+    x = across(x, by_time, ["ka"], sums={"n_so_far": ("sum", F.col("n")), "_A": ("max", F.col("A")), "_B": ("max", F.col("B"))}, after={"until": "ka"})
     last = F.greatest("_A", "_B")
     other = F.coalesce(F.least("_A.idx", "_B.idx"), F.lit(-1))
     other = F.when(F.col("_A").isNull() | F.col("_B").isNull(), -1).otherwise(other)
@@ -53,7 +60,7 @@ def _states(words: DataFrame, ranges: Ranges, every: float, min_rows: int) -> tu
 def _with_late(states: DataFrame, words: DataFrame) -> DataFrame:
     """Adds `late`, the words passed in the list that haven't come yet, and `after`, those listed before the last word
     that end after it, both in list order. Words meet the states by (unit, tick)."""
-    item = F.struct("idx", "speaker", "word", (F.col("upto") - F.length("piece")).alias("before"), "starts", "end")
+    item = F.struct("idx", "speaker", "word", (F.col("upto") - F.length(_piece())).alias("before"), "starts", "end")
     late = words.filter("earliest < ka").select("did", F.explode(F.sequence("earliest", F.col("ka") - 1)).alias("ka"), item.alias("w"), F.lit(True).alias("late"))
     same = words.filter("earliest <= ka").select("did", "ka", item.alias("w"), F.lit(False).alias("late"))
     met = late.unionByName(same).join(states.select("did", "ka", "lw"), ["did", "ka"]).filter("w.idx < lw.idx and (late or w.end > lw.end)")
@@ -91,12 +98,12 @@ def _with_texts(states: DataFrame, words: DataFrame, recent: int, context: bool)
     come = F.array_except(F.sequence(low, F.col("lw.idx")), F.transform("late", lambda w: w.idx))
     wanted = states.select("did", "ka", F.explode(come).alias("idx"))
     near = wanted.join(words.select("did", "idx", "speaker", "word"), ["did", "idx"]).groupBy("did", "ka").agg(F.array_sort(F.collect_list(F.struct("idx", "speaker", "word"))).alias("near"))
-    x = states.join(near, ["did", "ka"])
+    x = states.join(near, ["did", "ka"], "left")  # every state has its own; a left join is left out where nothing reads the texts
     x = x.withColumn("recent_words", F.array_join(F.transform(F.slice("near", -F.least(F.lit(recent), F.size("near")), recent), lambda w: w.word), " "))
     if not context:
         return x.drop("near")
-    whole = words.groupBy("did").agg(F.array_sort(F.collect_list(F.struct("idx", "piece"))).alias("_p")).select("did", F.array_join("_p.piece", "").alias("_text"))
-    x = x.join(whole, "did")
+    whole = words.groupBy("did").agg(F.array_sort(F.collect_list(F.struct("idx", _piece().alias("piece")))).alias("_p")).select("did", F.array_join("_p.piece", "").alias("_text"))
+    x = x.join(whole, "did", "left")
     tail = F.filter("near", lambda w: w.idx >= first_late.idx)
     # Behind the first late word the lines are put together anew; the speaker before it is known from whether it began a run.
     before = F.when(first_late.before == 0, "").when(first_late.starts, F.when(first_late.speaker == "A", "B").otherwise("A")).otherwise(first_late.speaker)

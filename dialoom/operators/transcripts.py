@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.labels import side_of, strip, without_repeats
-from dialoom.operators.sequence import MIN_ROWS, Ranges, find_ranges, following, ranked, running, stretches
+from dialoom.operators.sequence import MIN_ROWS, Ranges, across, find_ranges, ranked, stretches
 
 
 def transcript(words: DataFrame, call_gap_s: float | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -87,8 +87,7 @@ def run_columns(t: DataFrame, gap: float = 1.0, piece: Column | None = None, arr
     pieces up to and with the word, and `earliest`, the least `arrives` of the words listed later.
     """
     x, ranges = in_ranges(t)
-    x = following(x, ranges, ["idx"], "speaker", "_next")
-    x = following(x.withColumn("_both", F.struct("speaker", "end")), ranges, ["idx"], "_both", "_before", back=True)
+    x = across(x.withColumn("_both", F.struct("speaker", "end")), ranges, ["idx"], after={"_next": "speaker"}, before={"_before": "_both"})
     x = x.withColumn("starts", F.col("_before").isNull() | (F.col("_before.speaker") != F.col("speaker")))
     brk = F.when((F.col("_before.speaker") != F.col("speaker")) | (F.col("end") - F.col("_before.end") >= gap), F.col("idx"))
     back = {"run_no": ("sum", F.col("starts").cast("int")), "run_from": ("max", F.when(F.col("starts"), F.col("idx")))}
@@ -97,7 +96,7 @@ def run_columns(t: DataFrame, gap: float = 1.0, piece: Column | None = None, arr
         x, back["upto"] = x.withColumn("piece", piece), ("sum", F.length(piece))
     if arrives is not None:
         x, ahead["earliest"] = x.withColumn("ka", arrives), ("min", arrives)
-    x = running(running(x, ranges, ["idx"], back), ranges, ["idx"], ahead, ahead=True)
+    x = across(x, ranges, ["idx"], sums=back, ahead=ahead)
     x = x.withColumn("fwd", F.coalesce(F.col("_brk") - F.col("idx") - 1, F.col("_rest"))).withColumn("last_of_run", F.coalesce(F.col("_next") != F.col("speaker"), F.lit(True)))
     return x.drop("_next", "_both", "_before", "_brk", "_rest"), ranges
 

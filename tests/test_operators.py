@@ -5,6 +5,7 @@ import pytest
 from dialoom import catalogue
 from dialoom.operators import align, batch, frames, ticks, transcripts
 from dialoom.operators.sequence import find_ranges
+from dialoom.session import checkpointed
 from dialoom.sources import files
 from pyspark.sql import functions as F
 
@@ -56,6 +57,21 @@ def test_events_of_a_line_of_many_days(spark, tmp_path, name):
     assert early and late == [tuple((c, v + FAR * 1000 if c == "timestamp_ms" else v) for c, v in r) for r in early]
 
 
+def test_events_in_ranges_are_not_worked_out_anew(spark):
+    rows = [("A" if i // 6 % 2 else "B", f"w{i}", 0.75 * i, 0.75 * i + (0.5 if i % 5 else 2.5)) for i in range(60)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = []
+    for least in (10**6, 7):
+        t = checkpointed(talk(spark, rows))
+        t._ranges = find_ranges(t, ["did"], "idx", least)
+        x, ranges = transcripts.run_columns(t, piece=F.col("word"), arrives=F.col("idx"))
+        assert ranges.split == (least == 7) and sum("LogicalRDD" in line and "word#" in line for line in plan(x).splitlines()) <= (4 if ranges.split else 1)
+        e = ticks.events(t, channel=1, min_rows=least).select("did", "timestamp_ms", "hint", "channel")
+        assert "array_except" not in plan(e) and "array_join(_p" not in plan(e)  # the texts of a tick are made only if they are read
+        got.append(sorted(tuple(r) for r in e.collect()))
+    assert got[0] and got[0] == got[1]
+
+
 def test_tie_of_ends_goes_to_the_last_in_list_order(spark):
     t = talk(spark, [("A", "well", 0.0, 1.0), ("B", "no", 0.5, 1.0), ("B", "way", 1.0, 1.75)])
     r = ticks.ticks(t, every=1.0).filter("k = 1").first()
