@@ -30,9 +30,11 @@ def transcript(words: DataFrame, call_gap_s: float | None = None, min_rows: int
         units = ranked(ranges.assign(once), ranges, ["word_idx"], "_n").withColumn("did", F.col("dialogue_id"))
         found = Ranges(["did"], "idx", ranges.cuts and ranges.cuts.withColumnRenamed("dialogue_id", "did"))
     else:
-        calls = stretches(ranges.assign(once), ranges, ["start", "word_idx"], "start", call_gap_s, "_call")
-        named = calls.withColumn("did", F.concat_ws("#", "dialogue_id", F.col("_call").cast("string"))).drop("_bucket")
-        within = find_ranges(named, ["did"], "word_idx", min_rows) if ranges.split else Ranges(["did"], "word_idx")  # a long call is of a long dialogue
+        in_calls = lambda x: stretches(ranges.assign(x), ranges, ["start", "word_idx"], "start", call_gap_s, "_call").withColumn("did", F.concat_ws("#", "dialogue_id", F.col("_call").cast("string"))).drop("_bucket")
+        named = in_calls(once)
+        within = Ranges(["did"], "word_idx")
+        if ranges.split:  # a long call is of a long dialogue; repeated rows don't matter for where it is cut
+            within = find_ranges(in_calls(ok.join(F.broadcast(ranges.cuts.select("dialogue_id")), "dialogue_id", "left_semi")), ["did"], "word_idx", min_rows)
         units = ranked(within.assign(named), within, ["word_idx"], "_n")
         found = Ranges(["did"], "idx", within.cuts)
     t = units.select("did", (F.col("_n") - 1).cast("int").alias("idx"), "speaker", "word", "start", "end")

@@ -287,6 +287,16 @@ def test_calls_split_a_long_line(spark):
         assert {(r.did, r.n) for r in t.groupBy("did").agg(F.count("*").alias("n")).collect()} == {("line#0", 30), ("line#1", 30)}
 
 
+def test_long_calls_are_looked_for_in_long_lines_only(spark, monkeypatch):
+    rows = [(d, i, "A" if i % 3 else "B", f"w{i}", 10.0 * i + (100.0 if i >= 30 else 0.0), 10.0 * i + 101.0) for d, n in (("line", 60), ("talk", 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "dialogue_id string, word_idx int, speaker string, word string, start_s double, end_s double")
+    looked_at = []
+    monkeypatch.setattr(transcripts, "find_ranges", lambda x, *a: (looked_at.append({r.d for r in x.select(F.col(a[0][0]).alias("d")).distinct().collect()}), find_ranges(x, *a))[1])
+    got = transcripts.transcript(df, 60.0, min_rows=10).groupBy("did").agg(F.count("*").alias("n")).collect()
+    assert {(r.did, r.n) for r in got} == {("line#0", 30), ("line#1", 30), ("talk#0", 9)}
+    assert looked_at == [{"line", "talk"}, {"line#0", "line#1"}]
+
+
 def test_embedding_covariance_of_all_pairs(spark):
     from dialoom.operators import metrics
 
