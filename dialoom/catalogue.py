@@ -9,7 +9,7 @@ from dialoom.functions.labels import strip, unknown_labels
 from dialoom.functions.tokenize import text_ids
 from dialoom.operators import align, batch, dataset, frames, metrics, ticks, transcripts
 from dialoom.plans import oracle
-from dialoom.session import read_table
+from dialoom.session import prefix_session, read_table
 from dialoom.sources import audio, files
 
 QUERIES = {}
@@ -87,8 +87,9 @@ def next_utterance_hint(spark, d):
 
 @query
 def oracle_events(spark, d):
-    """Of whole dialogues, as the list of words is; each context holds all words so far."""
-    return ticks.events(_t(spark, d))
+    """Of whole dialogues, as the list of words is; each context holds all words so far, and is written as what it adds
+    to the one before."""
+    return ticks.events(_t(prefix_session(spark, "conversation_context"), d))
 
 
 @query

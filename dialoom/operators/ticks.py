@@ -4,12 +4,12 @@ Between two arrivals of words nothing changes, so everything is worked out once
 the next) and the ticks are listed at the end. A state is known by its unit and the tick at which it begins, so a long
 unit spreads over all tasks. What it needs of its words is little: how many have come, the last one in list order of each
 speaker (running sums and maxima), and the few that have been passed in the list but end later. Only a context holds all
-words so far, as it must; it is cut from the unit's whole text.
+words so far, as it must; it is cut from its unit's text up to there, which a long unit has once for each part of PART bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.labels import channel_map, strip
@@ -18,6 +18,10 @@ from dialoom.operators.transcripts import in_ranges, run_columns
 from dialoom.session import checkpointed
 
 
+#: Bytes of a unit's text whose contexts are made together.
+PART = 100_000
+
+
 def arrival(end: Column, every: float) -> Column:
     """The first tick k >= 1 with end <= k * every, exact where the division rounds."""
     k = F.ceil(end / every)
@@ -31,8 +35,13 @@ def _piece() -> Column:
     return F.when(F.col("starts"), lead).otherwise(F.concat(F.lit(" "), "word"))
 
 
+def _before() -> Column:
+    """Bytes of the unit's text before a word."""
+    return F.col("upto") - F.octet_length(_piece())
+
+
 def _words(t: DataFrame, every: float) -> tuple[DataFrame, Ranges]:
-    """Words with their arrival, `upto` (characters of the unit's text up to and with it) and `earliest` (first arrival of
+    """Words with their arrival, `upto` (bytes of the unit's text up to and with it) and `earliest` (first arrival of
     a word listed later). Words of a unit in ranges are kept (checkpoint) first, as each pass over ranges reads them twice."""
     ranges = in_ranges(t)[1]
     t = t.drop("start")
@@ -46,7 +55,7 @@ def _states(words: DataFrame, ranges: Ranges, every: float, min_rows: int) -> tu
     """States with at least two words: did, ka, until (the tick after its last one), n_so_far, lw (the last word in list
     order) and other (the last idx of the other speaker, -1 if none). The last arrival of a unit begins no state, as the
     ticks end before it."""
-    lw = F.struct("idx", "speaker", "word", "end", "fwd", "run_no", "last_of_run", "upto")
+    lw = F.struct("idx", "speaker", "word", "end", "fwd", "run_no", "last_of_run", "upto", _before().alias("before"))
     arrivals = words.groupBy("did", "ka").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("speaker") == s, lw)).alias(s) for s in "AB"])
     by_time = find_ranges(words, ["did"], "ka", min_rows) if ranges.split else Ranges(["did"], "ka")
     x = by_time.assign(arrivals, "ka")
@@ -60,7 +69,7 @@ def _states(words: DataFrame, ranges: Ranges, every: float, min_rows: int) -> tu
 def _with_late(states: DataFrame, words: DataFrame) -> DataFrame:
     """Adds `late`, the words passed in the list that haven't come yet, and `after`, those listed before the last word
     that end after it, both in list order. Words meet the states by (unit, tick)."""
-    item = F.struct("idx", "speaker", "word", (F.col("upto") - F.length(_piece())).alias("before"), "starts", "end")
+    item = F.struct("idx", "speaker", "word", _before().alias("before"), "starts", "end")
     late = words.filter("earliest < ka").select("did", F.explode(F.sequence("earliest", F.col("ka") - 1)).alias("ka"), item.alias("w"), F.lit(True).alias("late"))
     same = words.filter("earliest <= ka").select("did", "ka", item.alias("w"), F.lit(False).alias("late"))
     met = late.unionByName(same).join(states.select("did", "ka", "lw"), ["did", "ka"]).filter("w.idx < lw.idx and (late or w.end > lw.end)")
@@ -102,16 +111,31 @@ def _with_texts(states: DataFrame, words: DataFrame, recent: int, context: bool)
     x = x.withColumn("recent_words", F.array_join(F.transform(F.slice("near", -F.least(F.lit(recent), F.size("near")), recent), lambda w: w.word), " "))
     if not context:
         return x.drop("near")
-    whole = words.groupBy("did").agg(F.array_sort(F.collect_list(F.struct("idx", _piece().alias("piece")))).alias("_p")).select("did", F.array_join("_p.piece", "").alias("_text"))
-    x = x.join(whole, "did", "left")
     tail = F.filter("near", lambda w: w.idx >= first_late.idx)
     # Behind the first late word the lines are put together anew; the speaker before it is known from whether it began a run.
     before = F.when(first_late.before == 0, "").when(first_late.starts, F.when(first_late.speaker == "A", "B").otherwise("A")).otherwise(first_late.speaker)
     begun = F.struct(before.alias("sp"), F.array().cast("array<string>").alias("ps"))
     line = lambda a, w: F.when(a.sp == w.speaker, F.concat(F.lit(" "), w.word)).otherwise(F.concat(F.when(a.sp == "", "").otherwise("\n"), w.speaker, F.lit(": "), w.word))
     rest = F.aggregate(tail, begun, lambda a, w: F.struct(w.speaker.alias("sp"), F.concat(a.ps, F.array(line(a, w))).alias("ps")), lambda a: F.array_join(a.ps, ""))
-    text = F.when(F.size("late") == 0, F.substring("_text", F.lit(1), F.col("lw.upto").cast("int"))).otherwise(F.concat(F.substring("_text", F.lit(1), first_late.before.cast("int")), rest))
-    return x.withColumn("context", text).drop("near", "_text")
+    on_time = F.size("late") == 0
+    x = x.withColumns({"_part": _part(F.coalesce(first_late.before, F.col("lw.before"))), "_cut": F.when(on_time, F.col("lw.upto")).otherwise(first_late.before).cast("int"), "_rest": F.when(~on_time, rest)})
+    x = x.drop("near").join(_texts(words), ["did", "_part"], "left")
+    own = F.substring(F.col("_own").cast("binary"), F.lit(1), F.col("_cut") - F.octet_length("_text")).cast("string")
+    return x.withColumn("context", F.concat("_text", own, F.coalesce("_rest", F.lit("")))).drop("_part", "_cut", "_rest", "_text", "_own")
+
+
+def _part(at: Column) -> Column:
+    return F.floor(at / PART).cast("int")
+
+
+def _texts(words: DataFrame) -> DataFrame:
+    """did, _part, _own, _text: each part of a unit's text and all before it. A word is of the part in which it begins, so
+    each part that a word asks for is there. The parts' contexts are made in different tasks; what is moved for them is one
+    text a part, not one a context."""
+    pieces = words.groupBy("did", _part(_before()).alias("_part")).agg(F.array_sort(F.collect_list(F.struct("idx", _piece().alias("piece")))).alias("_p"))
+    parts = pieces.select("did", "_part", F.array_join("_p.piece", "").alias("_own"))
+    earlier = F.collect_list("_own").over(Window.partitionBy("did").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.select("did", "_part", "_own", F.array_join(earlier, "").alias("_text"))
 
 
 def _until_stop(states: DataFrame, by_time: Ranges) -> DataFrame:

@@ -85,7 +85,7 @@ def run_columns(t: DataFrame, gap: float = 1.0, piece: Column | None = None, arr
     last_of_run, and fwd, how many of the following words continue the utterance, until the speaker changes or the ends
     lie `gap` seconds apart (W1-W3). One pass forwards, one backwards.
 
-    `piece`, made from `starts`, and `arrives` are columns that the same passes sum up: `upto`, the characters of the
+    `piece`, made from `starts`, and `arrives` are columns that the same passes sum up: `upto`, the bytes of the
     pieces up to and with the word, and `earliest`, the least `arrives` of the words listed later.
     """
     x, ranges = in_ranges(t)
@@ -95,7 +95,7 @@ def run_columns(t: DataFrame, gap: float = 1.0, piece: Column | None = None, arr
     back = {"run_no": ("sum", F.col("starts").cast("int")), "run_from": ("max", F.when(F.col("starts"), F.col("idx")))}
     ahead = {"_brk": ("min", brk), "_rest": ("sum", F.lit(1))}
     if piece is not None:
-        x, back["upto"] = x.withColumn("piece", piece), ("sum", F.length(piece))
+        x, back["upto"] = x.withColumn("piece", piece), ("sum", F.octet_length(piece))
     if arrives is not None:
         x, ahead["earliest"] = x.withColumn("ka", arrives), ("min", arrives)
     x = across(x, ranges, ["idx"], sums=back, ahead=ahead)

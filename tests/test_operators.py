@@ -72,6 +72,27 @@ def test_events_in_ranges_are_not_worked_out_anew(spark):
     assert got[0] and got[0] == got[1]
 
 
+@pytest.mark.parametrize("part, n", [(100_000, 3000), (10_000, 3000), (7, 300)])
+def test_contexts_of_a_long_line_are_written_as_what_they_add(spark, tmp_path, monkeypatch, part, n):
+    monkeypatch.setattr(ticks, "PART", part, raising=False)
+    rnd = random.Random(7)
+    rows = [("line", i, "A" if i // 6 % 2 else "B", "wéit " * 5 + str(rnd.random()), 0.75 * i, 0.75 * i + rnd.choice([0.5, 0.5, 0.5, 4.0])) for i in range(n)]
+    df = spark.createDataFrame(rows, "dialogue_id string, word_idx int, speaker string, word string, start_s double, end_s double")
+    df.write.parquet(f"{tmp_path}/words.parquet")
+    catalogue.QUERIES["oracle_events"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").select("timestamp_ms", "conversation_context").collect()
+    assert len(got) > n / 20
+    for ms, text in got:
+        said, last = [], ""
+        for _, _, side, word, _, end in rows:
+            if end <= ms / 1000:
+                said.append((" " if side == last else ("\n" if last else "") + side + ": ") + word)
+                last = side
+        assert text == "".join(said)
+    if n == 3000:
+        assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < sum(len(r[1].encode()) for r in got) / 20
+
+
 def test_tie_of_ends_goes_to_the_last_in_list_order(spark):
     t = talk(spark, [("A", "well", 0.0, 1.0), ("B", "no", 0.5, 1.0), ("B", "way", 1.0, 1.75)])
     r = ticks.ticks(t, every=1.0).filter("k = 1").first()
